@@ -138,8 +138,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             rows, ids, texts = batch.to_pylist(), [], []
             for r in rows:
-                at, runs_on = r["i"] * chunk, r["begin"] < 0 or (r["end"] < 0 and not r["last"]) or (r["end"] > at + chunk + overlap)
-                if runs_on:
+                at = r["i"] * chunk
+                if r["begin"] < 0 or (r["end"] < 0 and not r["last"]):
                     start = max(r["begin"] - at, 0)
                     ids.append(b"")
                     texts.append(r["part"][start:chunk])

@@ -1,10 +1,14 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions alone.
 
-A document is a multiset of units: its paragraphs (lines), cut after stops and commas so that a document of one
-paragraph has several. Each unit is hashed to a wide vector of 0/1 lanes; the fingerprint is the sum of the vectors, each lane
-modulo 2**20, with the number of units. Sums do not depend on order; adding or taking away a unit's vector inserts
-or deletes it. Centred (twice a lane less the number of units), lanes are sums of random signs, so the normalised inner
-product of two fingerprints estimates the cosine of the two multisets: their likeness.
+A document is a multiset of paragraphs (lines), and a paragraph one of units (clauses; words if it is short), so that a
+document of one paragraph has several. Each unit is hashed to a wide vector of 0/1 lanes times its length; the fingerprint
+is the sum of the vectors, each lane modulo 2**31, with the sum of the lengths. Sums do not depend on order; adding or taking
+away a paragraph's vector inserts or deletes it. Centred (twice a lane less the sum of lengths), lanes are sums of random
+signs, so the normalised inner product of two fingerprints estimates the cosine of the two multisets: their likeness.
+
+Units become rows and vectors are summed by a hash aggregate, which is compiled code; array lambdas, which are not, would
+take some ten times as long for it. The rows of a document stay in the task that has its text: no shuffle follows the
+one that brings neighbours together.
 """
 
 from __future__ import annotations
@@ -12,106 +16,129 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: 64-bit words of a fingerprint; each holds three lanes of LANE_BITS and a guard bit.
-WORDS, LANE_BITS, LANES = 32, 20, 3
-STEP = LANE_BITS + 1
-ONES = sum(1 << (STEP * k) for k in range(LANES))
-MASK = sum(((1 << LANE_BITS) - 1) << (STEP * k) for k in range(LANES))
-UNIT_END = r"(?<=[.,;:!?\n])"
+#: 64-bit words of a fingerprint; each holds two lanes of LANE_BITS bits, 32 bits apart.
+WORDS, LANE_BITS = 48, 31
+ONES, MASK = 1 | 1 << 32, (1 << 31) - 1 | ((1 << 31) - 1) << 32
+CLAUSE_END, WORD_END = r"(?<=[.,;:!?])", r"(?<= )"
+#: Paragraphs under SHORT characters are taken by word; no unit weighs more than HEAVIEST.
+SHORT, HEAVIEST = 120, 65535
 #: Ids per bucket and buckets per group, as powers of two, where neighbours by id are sought.
 BUCKET_BITS, GROUP_BITS = 8, 10
 
 
-def unit_hashes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, UNIT_END, -1), lambda u: u != ""), lambda u: F.xxhash64(u))
+def units(text: Column) -> Column:
+    """The paragraphs' units: words of a short paragraph, clauses of any other."""
 
+    def cut(p: Column) -> Column:
+        return F.when(F.length(p) < SHORT, F.split(p, WORD_END, -1)).otherwise(F.split(p, CLAUSE_END, -1))
 
-def fingerprint(text: Column) -> Column:
-    """array<bigint>: number of units modulo 2**20, then WORDS words of lanes. Empty text: zeros."""
-    hashes = unit_hashes(text)
-    return fingerprint_of(hashes)
+    return F.filter(F.flatten(F.transform(F.split(text, "\n", -1), cut)), lambda u: u != "")
 
 
-def fingerprint_of(hashes: Column) -> Column:
-    def word(j: Column) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: (acc + F.xxhash64(h, j).bitwiseAND(F.lit(ONES))).bitwiseAND(F.lit(MASK)))
+def fingerprints(rows: DataFrame, keys: list[str], text_col: str, to: str = "fp") -> DataFrame:
+    """keys and the fingerprint of text_col (array<bigint>: weight, then WORDS words) for each row; keys must be unique.
 
-    return F.concat(F.array((F.size(hashes) % (1 << LANE_BITS)).cast("long")), F.transform(F.sequence(F.lit(1), F.lit(WORDS)), word))
+    An empty text has the fingerprint of zeros. If rows are partitioned by some of the keys, nothing is shuffled.
+    """
+    each = rows.select(*keys, F.explode_outer(units(F.col(text_col))).alias("_u"))
+    each = each.select(*keys, *(F.xxhash64("_u", F.lit(i)).alias(f"_h{i}") for i in range(-(-WORDS // 32))), F.coalesce(F.least(F.length("_u"), F.lit(HEAVIEST)), F.lit(0)).cast("long").alias("_w"))
+    lanes = [F.sum(F.shiftright(F.col(f"_h{j // 32}"), j % 32).bitwiseAND(F.lit(ONES)) * F.col("_w")).alias(f"_{j}") for j in range(WORDS)]
+    summed = each.groupBy(*keys).agg(F.sum("_w").alias("_n"), *lanes)
+    return summed.select(*keys, F.array("_n", *(f"_{j}" for j in range(WORDS))).alias(to))
 
 
 def add(a: Column, b: Column) -> Column:
     """The fingerprint of both multisets together (insertion)."""
-    return _moved(a, b, lambda x, y: (x + y).bitwiseAND(F.lit(MASK)))
+    return F.zip_with(a, b, lambda x, y: _joined(_low(x) + _low(y), _high(x) + _high(y)))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """a's fingerprint without b's units (deletion)."""
-    guards = ONES << LANE_BITS
-    return _moved(a, b, lambda x, y: (x.bitwiseOR(F.lit(guards)) - y).bitwiseAND(F.lit(MASK)) if guards < 2**63 else x)
+    return F.zip_with(a, b, lambda x, y: _joined(_low(x) - _low(y), _high(x) - _high(y)))
+
+
+def _low(w: Column) -> Column:
+    return w.bitwiseAND(F.lit((1 << LANE_BITS) - 1))
+
+
+def _high(w: Column) -> Column:
+    return F.shiftright(w, 32)
 
 
-def _moved(a: Column, b: Column, f) -> Column:  # noqa: ANN001
-    n = F.array(f(a[0], b[0]).bitwiseAND(F.lit((1 << LANE_BITS) - 1)))
-    return F.concat(n, F.slice(F.zip_with(a, b, f), 2, WORDS))
+def _joined(low: Column, high: Column) -> Column:
+    return F.shiftleft(_low(high), 32).bitwiseOR(_low(low))
 
 
 def as_text(fp: Column) -> Column:
-    """Hexadecimal digits: five of the count, sixteen of each word."""
-    return F.concat(F.lpad(F.lower(F.hex(fp[0])), 5, "0"), F.array_join(F.transform(F.slice(fp, 2, WORDS), lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), ""))
+    """Sixteen hexadecimal digits for the weight and for each word."""
+    return F.array_join(F.transform(fp, lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: 1 for equal fingerprints; else the estimated cosine of the multisets (0 if one is empty)."""
+def signed_lanes(fp: Column) -> Column:
+    """The centred lanes, modulo 2**31, as doubles."""
 
-    def signed(word: Column, n: Column, k: int) -> Column:
-        lane = F.shiftright(word, STEP * k).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
-        wrapped = (2 * lane - n + (1 << (LANE_BITS + 1))) % (1 << LANE_BITS)
-        return F.when(wrapped >= 1 << (LANE_BITS - 1), wrapped - (1 << LANE_BITS)).otherwise(wrapped).cast("double")
+    def centred(lane: Column) -> Column:
+        x = F.pmod(2 * lane - fp[0], F.lit(1 << LANE_BITS))
+        return F.when(x >= 1 << (LANE_BITS - 1), x - (1 << LANE_BITS)).otherwise(x).cast("double")
 
-    def dot(x: Column, y: Column) -> Column:
-        each = F.zip_with(F.slice(x, 2, WORDS), F.slice(y, 2, WORDS), lambda p, q: sum((signed(p, x[0], k) * signed(q, y[0], k) for k in range(1, LANES)), signed(p, x[0], 0) * signed(q, y[0], 0)))
-        return F.aggregate(each, F.lit(0.0), lambda s, v: s + v)
+    return F.flatten(F.transform(F.slice(fp, 2, WORDS), lambda w: F.array(centred(_low(w)), centred(_high(w)))))
 
-    norms = dot(a, a) * dot(b, b)
-    cosine = F.when(norms > 0, F.least(F.greatest(dot(a, b) / F.sqrt(norms), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def likeness(a: Column, b: Column, ab: Column, aa: Column, bb: Column) -> Column:
+    """0 to 1: 1 for equal fingerprints a and b; else the estimated cosine of the multisets (0 if one is empty).
+
+    ab, aa, bb: inner products of the signed lanes.
+    """
+    cosine = F.when((aa > 0) & (bb > 0), F.least(F.greatest(ab / (F.sqrt(aa) * F.sqrt(bb)), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
     return F.when(a == b, F.lit(1.0)).otherwise(cosine)
 
 
-def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
-    """docs (doc_id, *cols) with next_<col>: of the next document by descending doc_id; after the last, the first.
+def with_next(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with _b, _r, next_text and next_head: text of the next document by descending doc_id; after the last, the first.
 
-    Ties go by cols, descending. Null ids come last. Neighbours are sought in buckets of ids; a bucket's last row gets
-    the first of the next bucket that has rows, found over bucket numbers only: no window sees more than a bucket, a
-    group of buckets, or one row per group.
+    Ties go by text, descending. Null ids come last. Neighbours are sought in buckets of ids; a bucket's last row gets
+    the first of the next bucket that has rows (then next_head is true), found over bucket numbers only: no window
+    sees more than a bucket, a group of buckets, or one row per group. _b and _r number the rows.
     """
-    least = -(2**62)
-    rows = docs.withColumn("_b", F.shiftright(F.coalesce(F.col("doc_id"), F.lit(least)), BUCKET_BITS))
-    order = [F.col("doc_id").desc_nulls_last(), *(F.col(c).desc() for c in cols)]
-    here = Window.partitionBy("_b").orderBy(*order)
-    heads = rows.withColumn("_r", F.row_number().over(here)).filter("_r = 1").select(F.col("_b").alias("_next"), *(F.col(c).alias(f"_head_{c}") for c in cols))
+    rows = rows.withColumn("_b", F.shiftright(F.coalesce(F.col("doc_id"), F.lit(-(2**62))), BUCKET_BITS))
+    here = Window.partitionBy("_b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    heads = rows.withColumn("_r", F.row_number().over(here)).filter("_r = 1").select(F.col("_b").alias("_next"), F.col("text").alias("_head"))
     buckets = rows.select("_b").distinct().withColumn("_g", F.shiftright("_b", GROUP_BITS))
     tops = buckets.groupBy("_g").agg(F.max("_b").alias("_top"))
     every = Window.partitionBy(F.lit(0))
     tops = tops.select("_g", F.coalesce(F.lead("_top").over(every.orderBy(F.col("_g").desc())), F.max("_top").over(every)).alias("_lower"))
     links = buckets.withColumn("_in", F.lead("_b").over(Window.partitionBy("_g").orderBy(F.col("_b").desc()))).join(tops, "_g")
     links = links.select("_b", F.coalesce("_in", "_lower").alias("_next")).join(heads, "_next").drop("_next")
-    led = rows
-    for c in cols:
-        led = led.withColumn(f"next_{c}", F.lead(c).over(here))
-    led = led.join(links, "_b", "left")
-    for c in cols:
-        led = led.withColumn(f"next_{c}", F.coalesce(f"next_{c}", f"_head_{c}")).drop(f"_head_{c}")
-    return led.drop("_b")
+    led = rows.withColumns({"_r": F.row_number().over(here), "_lead": F.lead("text").over(here)}).join(links, "_b", "left")
+    return led.withColumns({"next_text": F.coalesce("_lead", "_head"), "next_head": F.col("_lead").isNull()}).drop("_lead", "_head")
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, fp, next_text, next_fp, edited (the text whose last third is the next one's first part), edited_fp.
+    """doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next.
 
+    The edited text is the text whose last third (floor, in code points) is the beginning of the next document's text.
     Null text: empty. A text of under three characters is not changed by the edit. Repeated rows are each other's neighbours.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("fp", fingerprint(F.col("text"))), ["text", "fp"])
-    n = F.length("text")
+    rows = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     third = F.expr("cast(length(text) div 3 as int)")
-    rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - third), F.col("next_text").substr(F.lit(1), third)))
-    return rows.withColumn("edited_fp", fingerprint(F.col("edited")))
+    rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.length("text") - third), F.col("next_text").substr(F.lit(1), third)))
+    rows = rows.select("_b", "_r", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", F.when(F.col("next_head"), F.col("next_text")).alias("beyond"))
+    texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")), F.struct(F.lit(2).alias("kind"), F.col("beyond").alias("t")))
+    rows = rows.select("_b", "_r", "doc_id", "n_chars", "edited_sha256", F.explode(texts).alias("_t")).select("*", "_t.kind", "_t.t").filter("t is not null").drop("_t")
+    own = ["_b", "_r", "doc_id", "n_chars", "edited_sha256"]
+    fps = fingerprints(rows, [*own, "kind"], "t")
+    got = fps.groupBy(*own).agg(*(F.max(F.when(F.col("kind") == k, F.col("fp"))).alias(name) for k, name in enumerate(("fp", "edited_fp", "beyond_fp"))))
+    here = Window.partitionBy("_b").orderBy("_r")
+    got = got.withColumn("next_fp", F.coalesce(F.lead("fp").over(here), "beyond_fp"))
+    lanes = got.withColumns({"_a": signed_lanes(F.col("fp")), "_e": signed_lanes(F.col("edited_fp")), "_x": signed_lanes(F.col("next_fp"))})
+    a, e, x = F.col("_a"), F.col("_e"), F.col("_x")
+    dots = lanes.withColumns({"_aa": dot(a, a), "_ee": dot(e, e), "_xx": dot(x, x), "_ae": dot(a, e), "_ax": dot(a, x)})
+    fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    return dots.select(
+        "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp",
+        likeness(fp, edited, F.col("_ae"), F.col("_aa"), F.col("_ee")).alias("near_edited"), likeness(fp, after, F.col("_ax"), F.col("_aa"), F.col("_xx")).alias("near_next"),
+    )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, fingerprint, packing, sharding, warc
+from . import bytebpe, chat, fingerprint, langid, packing, sharding, warc
 
 WINDOW = 4096
 SHARDS = 24
@@ -25,6 +25,11 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs.select("doc_id", "text"), langid.train(docs)).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     out = chat.format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap))
@@ -46,11 +51,8 @@ def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.neighbours(table(spark, sf_dir, "documents"))
-    fp, edited = F.col("fp"), F.col("edited_fp")
-    return rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint.as_text(fp).alias("fingerprint"), fingerprint.as_text(edited).alias("edited_fingerprint"),
-        fingerprint.likeness(fp, edited).alias("near_edited"), fingerprint.likeness(fp, F.col("next_fp")).alias("near_next"),
-    )
+    texts = {"fingerprint": fingerprint.as_text(F.col("fp")), "edited_fingerprint": fingerprint.as_text(F.col("edited_fp"))}
+    return rows.withColumns(texts).drop("fp", "edited_fp").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def queries() -> dict:
