@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .wordhash import mix, words
+from .wordhash import mix, ranges, words
 
 BASE, WINDOW = 40, 11
 MIN_WORDS = BASE + WINDOW - 1
@@ -130,9 +130,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             ids = np.asarray(batch.column(0).to_pylist(), np.int64)
-            g, r, left, doc, pos = retained(batch.column(1).to_pylist())
-            if len(g):
-                parts.append((g, r, left, ids[doc], pos))
+            texts = batch.column(1).to_pylist()
+            for i, j in ranges(texts):
+                g, r, left, doc, pos = retained(texts[i:j])
+                if len(g):
+                    parts.append((g, r, left, ids[i + doc], pos))
         if not parts:
             return
         g, r, left, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))

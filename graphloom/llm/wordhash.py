@@ -14,6 +14,17 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE, _INVERSE = 0x9E3779B97F4A7C55, pow(0x9E3779B97F4A7C55, -1, 1 << 64)
 
 
+def ranges(texts: list[str | None], most: int = 4 * SLICE) -> list[tuple[int, int]]:
+    """Index ranges of about so many characters, so that what is held for a batch does not grow with its texts' number."""
+    out, begin, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held >= most:
+            out.append((begin, i + 1))
+            begin, held = i + 1, 0
+    return [*out, (begin, len(texts))] if begin < len(texts) else out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
