@@ -16,8 +16,8 @@ from functools import lru_cache
 import regex
 import tiktoken
 
-#: Words kept per worker; beyond that the cache starts anew (about 120 bytes a word).
-KEPT_WORDS = 1_000_000
+#: Words kept per worker; beyond that the cache starts anew (about 200 bytes a word).
+KEPT_WORDS = 200_000
 
 
 def _bytes_of_chars() -> dict[str, int]:
