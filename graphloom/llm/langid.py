@@ -210,7 +210,13 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Crf | None:
     """A model of at most train_docs documents that are not held out; None if none has a label and a text."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
-    rows = rows.select(F.xxhash64(F.col(id_col), F.lit("train")).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "i", "t").limit(train_docs).collect()
+    h = F.xxhash64(F.col(id_col), F.lit("train"))
+    # hashes first, then only the chosen rows: no task sends texts that are not used
+    last = rows.select(h.alias("h")).orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    rows = rows.select(h.alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(F.col("h") <= last)
+    rows = rows.orderBy("h", "i", "t").limit(train_docs).collect()
     return Crf.train([r["t"] for r in rows], [r["l"] for r in rows]) if rows else None
 
 
