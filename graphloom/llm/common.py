@@ -57,9 +57,14 @@ def _clean() -> None:
             return
 
 
+#: Bytes of an Arrow batch that a Python worker takes at once; documents are large rows.
+BATCH_BYTES = "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per Spark application."""
+    """Sends this package to the executors, once per Spark application, and bounds what their workers take at once."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_graphloom_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-TRAIN_DOCS, CHAIN, SLICE = 1200, 64, 1 << 19
+TRAIN_DOCS, CHAIN, SLICE = 1200, 64, 1 << 18
 GRAM_BITS, AFFIX_BITS, LEXICON_BITS = 16, 16, 18
 AFFIXES = (1, 2, 3)
 UNDETERMINED = "und"

@@ -30,6 +30,8 @@ MIN_WORDS = BASE + WINDOW - 1
 AROUND, BITS, EDGE = WINDOW - 1, 6, 63
 SUFFIX = "g bigint, r bigint, l bigint, doc_id bigint, pos bigint"
 SPAN = "doc_id bigint, begin_word bigint, end_word bigint, ref_doc_id bigint"
+#: Sorted suffixes that a worker takes at once, or one group of equal ones.
+ROWS_AT_ONCE = 50_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,6 +172,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if not open_.num_rows:
                 continue
             held.append(tuple(open_.column(i).to_numpy() for i in range(5)))
+            if sum(len(y[0]) for y in held) < ROWS_AT_ONCE:
+                continue
             g = held[-1][0]
             if g[0] != g[-1] or (len(held) > 1 and held[0][0][0] != g[-1]):  # all but the last group are complete
                 x = tuple(np.concatenate(y) for y in zip(*held, strict=True))

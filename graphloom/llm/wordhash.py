@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,7 +64,7 @@ def words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.
         step = np.diff(np.r_[False, ~_SPACE[b], False].astype(np.int8))
         begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         if len(begin):
-            size = 1 << max(21, int(len(b) + 1).bit_length())
+            size = 1 << max(20, int(len(b) + 1).bit_length())
             power, inverse = _powers(size)
             v = (_LOWER[b] if lower else b).astype(np.uint64) + np.uint64(1)
             sums = np.r_[np.uint64(0), np.cumsum(mix(v) * power[: len(b)], dtype=np.uint64)]
