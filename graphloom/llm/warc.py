@@ -1,13 +1,15 @@
 """WARC records in ZIP packages: written as stored members with an index, read back by ranges.
 
-A package holds archive/data.warc and indexes/index.cdx, both stored, not deflated. The reader takes the end-of-central-directory
-record (and its ZIP64 form), the central directory and a member's local header, each by a range read, then the
-index, then single records inside the stored archive. Nothing is extracted.
+A package holds archive/data.warc.gz and indexes/index.cdx, both stored, not deflated; in the archive each record is a gzip member
+of its own, as WARC files have it. The reader takes the end-of-central-directory record (and its ZIP64 form), the central
+directory and a member's local header, each by a range read, then the index, then single records inside the stored archive.
+Nothing is extracted. Archives of plain records (archive/*.warc) are read too.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import io
 import struct
 import uuid
@@ -23,7 +25,9 @@ from .common import _kept, ship, shared_dir, stored
 
 #: Bytes of records in a package, beyond which the next one begins.
 PACKAGE_BYTES = 32 << 20
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdx"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+#: Level of the records' compression.
+LEVEL = 4
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload string"
 SALTS = 32
 
@@ -37,14 +41,16 @@ def record(page_id: int | None, url: str, digest: str, kind: str, refers_to: int
 
 
 def package(records: list[tuple[int | None, bytes]]) -> bytes:
-    """A ZIP of the records, in order, and their index: page_id, offset, length a line."""
-    at, lines = 0, []
-    for page_id, r in records:
+    """A ZIP of the records, in order, and their index: page_id, offset, length (as stored) a line."""
+    at, lines, members = 0, [], []
+    for page_id, plain in records:
+        r = gzip.compress(plain, LEVEL, mtime=0)
+        members.append(r)
         lines.append(f"{'' if page_id is None else page_id} {at} {len(r)}\n")
         at += len(r)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        z.writestr(ARCHIVE, b"".join(r for _, r in records))
+        z.writestr(ARCHIVE, b"".join(members))
         z.writestr(INDEX, "".join(lines))
     return out.getvalue()
 
@@ -103,6 +109,8 @@ def member_at(f, entry: tuple[int, int, int]) -> int:  # noqa: ANN001
 
 
 def read_record(data: bytes) -> dict:
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     head, _, block = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     fields = dict(x.split(": ", 1) for x in lines[1:])
@@ -123,7 +131,7 @@ def read_record(data: bytes) -> dict:
 
 def records_of(f, size: int) -> Iterator[dict]:  # noqa: ANN001
     names = directory(f, size)
-    archive, index = member_at(f, names[ARCHIVE]), member_at(f, names[INDEX])
+    archive, index = member_at(f, next(e for name, e in names.items() if name.startswith("archive/"))), member_at(f, names[INDEX])
     for line in read_range(f, index, names[INDEX][1]).decode().splitlines():
         _, at, n = line.split(" ")
         yield read_record(read_range(f, archive + int(at), int(n)))
