@@ -1,29 +1,35 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Cosine >= threshold is distance <= epsilon between unit vectors, and a projection to principal dimensions never lengthens a
-distance. Vectors are sorted by the cells (of width epsilon) of their leading principal dimensions, the order is cut into
-blocks that each lie in one cell of the first KEYED dimensions, and a block meets those in the cells around it whose
-bounding boxes are within epsilon. Two blocks are joined by halving their sequences, skipping halves that are provably
-too far apart, down to LEAF vectors, whose cosines are computed in double precision.
-
-Equal vectors are joined once, by one of them. A block pair returns counts and a forest of its links, not the pairs.
+distance. Vectors are sorted by the cells (of width epsilon) of their leading principal dimensions, and the order is cut into
+blocks that each lie in one cell of the first KEYED dimensions, and into tiles of following blocks. A tile meets those that
+hold a cell around one of its own; of two tiles, the blocks whose bounding boxes are within epsilon are joined by halving
+their sequences, skipping halves that are provably too far apart, down to LEAF vectors. A leaf's cosines are computed in single
+precision first and, where one may reach the threshold, in double precision.
+
+Tiles are files in the shared folder, written once and read by the tasks that meet them: what is shuffled is the vectors, once
+by value and once by cell, and the pairs of tile names. Equal vectors are joined once, by one of them. Two tiles return counts
+and a forest of their links, not the pairs.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import _kept, shared_dir, ship, stored
 from .components import components
 
-#: Principal dimensions used; those whose cells key the blocks; vectors of a block; vectors at which halving ends.
-DIMENSIONS, KEYED, BLOCK, LEAF = 8, 3, 512, 128
+#: Principal dimensions used; those whose cells key the blocks; vectors of a block, of a tile; vectors at which halving ends.
+DIMENSIONS, KEYED, BLOCK, TILE, LEAF = 8, 3, 512, 4096, 128
 #: The principal dimensions are fitted to at most this many vectors (the smallest by a hash of the id).
 SAMPLE = 4096
 #: Slack for rounding in projections and boxes.
@@ -43,36 +49,48 @@ def principal(vectors: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over positions that keeps the links which joined two trees."""
+    """Labels of positions that keep the links which joined two trees."""
 
     def __init__(self, n: int) -> None:
-        self.up, self.links = list(range(n)), []
+        self.label, self.links = np.arange(n), []
+
+    def link(self, x: int, others: np.ndarray) -> None:
+        for tree, at in zip(*np.unique(self.label[others], return_index=True), strict=True):
+            if tree != self.label[x]:
+                self.links.append((x, int(others[at])))
+                self.label[self.label == tree] = self.label[x]
+
 
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+class Tile:
+    """Unit vectors in grid order, their rows' ids and numbers, and the blocks' bounds and boxes."""
 
-    def link(self, x: int, y: int) -> None:
-        a, b = self.top(x), self.top(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((x, y))
+    def __init__(self, name: int, data: bytes, axes: np.ndarray) -> None:
+        with np.load(io.BytesIO(data)) as z:
+            self.name, self.reps, self.ms, self.ends = name, z["reps"], z["ms"], z["ends"]
+            self.v = _unit(z["v"].astype(np.float64))
+        self.p, self.v4 = self.v @ axes, self.v.astype(np.float32)
+        spans = list(zip([0, *self.ends[:-1]], self.ends, strict=True))
+        self.spans = [(int(i), int(j)) for i, j in spans]
+        self.lo, self.hi = (np.stack([f(self.p[i:j], axis=0) for i, j in self.spans]) for f in (np.min, np.max))
 
 
-def join_blocks(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, epsilon: float, threshold: float, same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(offset in a, offset in b, links) of the leaves that hold links; same: b is a, and only pairs of i < j count."""
-    todo = [(0, len(a), 0, len(b))]
+def join_blocks(a: Tile, b: Tile, span_a: tuple[int, int], span_b: tuple[int, int], epsilon: float, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(offset in a, offset in b, links) of the leaves that hold links; within one tile only pairs of i < j count."""
+    same = a.name == b.name
+    margin = 1e-6 * a.v.shape[1] + 1e-5  # beyond the rounding of single precision
+    todo = [(*span_a, *span_b)]
     while todo:
         i, j, k, m = todo.pop()
         if same and m <= i:
             continue
-        gap = np.maximum(0, np.maximum(pa_[i:j].min(0) - pb[k:m].max(0), pb[k:m].min(0) - pa_[i:j].max(0)))
-        if np.sqrt((gap * gap).sum()) > epsilon + SLACK:
-            continue
+        if (i, j, k, m) != (*span_a, *span_b):
+            gap = np.maximum(0, np.maximum(a.p[i:j].min(0) - b.p[k:m].max(0), b.p[k:m].min(0) - a.p[i:j].max(0)))
+            if np.sqrt((gap * gap).sum()) > epsilon + SLACK:
+                continue
         if j - i <= LEAF and m - k <= LEAF:
-            hit = a[i:j] @ b[k:m].T >= threshold
+            if (a.v4[i:j] @ b.v4[k:m].T).max() < threshold - margin:
+                continue
+            hit = a.v[i:j] @ b.v[k:m].T >= threshold
             if same:
                 hit &= np.arange(i, j)[:, None] < np.arange(k, m)[None, :]
             if hit.any():
@@ -101,17 +119,19 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     v = F.col("v")
     good = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     usable = rows.filter(good).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))  # -0 is 0
-    classes = stored(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")))
-    sample = classes.select("v", F.xxhash64("rep").alias("h"), "rep", F.size("v").alias("d")).orderBy("h", "rep").limit(SAMPLE).collect()
+    classes = usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
+    sample = usable.select("v", F.xxhash64("vec_id").alias("h"), "vec_id", F.size("v").alias("d")).orderBy("h", "vec_id").limit(SAMPLE).collect()
     axes = {d: principal(_unit(np.array([r["v"] for r in sample if r["d"] == d]))) for d in {r["d"] for r in sample}}
     sent = spark.sparkContext.broadcast(axes)
+    folder = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    _kept.append((spark, folder))
 
     def axes_of(d: int) -> np.ndarray:
         return sent.value[d] if d in sent.value else np.eye(d)[:, :DIMENSIONS]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, m, vectors = batch.column(1), batch.column(2), batch.column(0)
+            vectors = batch.column(0)
             size = np.diff(vectors.offsets.to_numpy())
             flat, begin = vectors.values.to_numpy()[vectors.offsets[0].as_py() :], np.r_[0, np.cumsum(size)]
             for d in np.unique(size):
@@ -119,96 +139,112 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 x = np.stack([flat[begin[i] : begin[i] + d] for i in at])
                 p = _unit(x) @ axes_of(int(d))
                 p = np.pad(p, ((0, 0), (0, DIMENSIONS - p.shape[1])))
-                cells = np.floor(p / epsilon).astype(np.int64) if epsilon > 1e-6 else np.floor(p * 1e6).astype(np.int64)
+                cells = np.floor(p / max(epsilon, 1e-6)).astype(np.int64)
+                with np.errstate(over="ignore"):
+                    small = x.astype(np.float32)
+                kept = [y.tobytes() for y in (small if (small == x).all() else x)]
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), m.take(take), pa.array(np.full(len(at), d), pa.int32()), *(pa.array(cells[:, i], pa.int64()) for i in range(KEYED)), pa.array(list(cells[:, KEYED:]), pa.list_(pa.int64())), pa.array([y.tobytes() for y in x], pa.binary()), pa.array([y.tobytes() for y in p], pa.binary())],
-                    ["rep", "m", "d", "c0", "c1", "c2", "cells", "v", "p"],
+                    [batch.column(1).take(take), batch.column(2).take(take), pa.array(np.full(len(at), d), pa.int32()), *(pa.array(cells[:, i], pa.int64()) for i in range(KEYED)), pa.array(list(cells[:, KEYED:]), pa.list_(pa.int64())), pa.array(kept, pa.binary())],
+                    ["rep", "m", "d", "c0", "c1", "c2", "cells", "v"],
                 )
 
     cell = ["d", "c0", "c1", "c2"]
-    ordered = classes.mapInArrow(project, "rep bigint, m bigint, d int, c0 bigint, c1 bigint, c2 bigint, cells array<bigint>, v binary, p binary")
-    # a cell's vectors are sorted and cut in one order; a hot cell is spread by a finer cell of its next dimension, then by id
-    ordered = ordered.withColumn("part", F.concat(F.slice("cells", 1, 1), F.array(F.pmod(F.xxhash64("rep"), F.lit(4)))))
-    ordered = ordered.repartition(*cell, "part").sortWithinPartitions(*cell, "part", "cells", "rep")
+    ordered = classes.mapInArrow(project, "rep bigint, m bigint, d int, c0 bigint, c1 bigint, c2 bigint, cells array<bigint>, v binary")
+    # tiles follow the grid order; a hot cell is split by its finer cells, then by id
+    ordered = ordered.repartitionByRange(*cell, "cells", F.xxhash64("rep")).sortWithinPartitions(*cell, "cells", F.xxhash64("rep"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
         held: list[dict] = []
-
-        def block() -> pa.RecordBatch:
-            p = np.stack([np.frombuffer(r["p"]) for r in held])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([held[0]["rep"]], pa.int64()), *(pa.array([held[0][c]], pa.int64()) for c in cell), pa.array([list(p.min(0))]), pa.array([list(p.max(0))]),
-                    pa.array([[r["rep"] for r in held]], pa.list_(pa.int64())), pa.array([[r["m"] for r in held]], pa.list_(pa.int64())), pa.array([b"".join(r["v"] for r in held)]), pa.array([p.tobytes()]),
-                ],
-                BLOCKS,
-            )
+        ends: list[int] = []
+
+        def tile() -> pa.RecordBatch:
+            d, path, out = held[0]["d"], f"{base}/{uuid.uuid4().hex}.npz", io.BytesIO()
+            v = np.stack([np.frombuffer(r["v"], np.float32 if len(r["v"]) == 4 * d else np.float64).astype(np.float64) for r in held])
+            if all(len(r["v"]) == 4 * d for r in held):
+                v = v.astype(np.float32)
+            reps, ms = [r["rep"] for r in held], [r["m"] for r in held]
+            np.savez(out, v=v, reps=np.array(reps, np.int64), ms=np.array(ms, np.int64), ends=np.array([*ends, len(held)], np.int64))
+            with files.open_output_stream(path) as f:
+                f.write(out.getvalue())
+            seen = sorted({(r["c0"], r["c1"], r["c2"]) for r in held})
+            rows = {"tile": reps[0], "path": path, "d": d, "cells": [dict(zip(("c0", "c1", "c2"), c, strict=True)) for c in seen], "reps": reps, "ms": ms}
+            return pa.RecordBatch.from_pylist([rows], TILES)
 
         for batch in batches:
             for r in batch.to_pylist():
-                if held and (len(held) == BLOCK or any(held[0][c] != r[c] for c in (*cell, "part"))):
-                    yield block()
-                    held = []
+                if held and (len(held) == TILE or held[0]["d"] != r["d"]):
+                    yield tile()
+                    held, ends = [], []
+                if held and (any(held[-1][c] != r[c] for c in cell) or len(held) - (ends[-1] if ends else 0) == BLOCK):
+                    ends.append(len(held))
                 held.append(r)
         if held:
-            yield block()
+            yield tile()
 
-    blocks = stored(ordered.mapInArrow(cut, "block bigint, d bigint, c0 bigint, c1 bigint, c2 bigint, lo array<double>, hi array<double>, reps array<bigint>, ms array<bigint>, v binary, p binary"))
-    boxes = blocks.select("block", *cell, "lo", "hi")
+    tiles = stored(ordered.mapInArrow(cut, "tile bigint, path string, d int, cells array<struct<c0: bigint, c1: bigint, c2: bigint>>, reps array<bigint>, ms array<bigint>"))
+    names = tiles.select("tile", "path")
+    cells = tiles.select("tile", "d", F.explode("cells").alias("c")).select("tile", "d", "c.*")
     around = F.array(*(F.struct(*(F.lit(x).alias(f"o{i}") for i, x in enumerate(o))) for o in product((-1, 0, 1), repeat=KEYED)))
-    near = boxes.withColumn("o", F.explode(around)).select(F.col("block").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), "d", *((F.col(f"c{i}") + F.col(f"o.o{i}")).alias(f"c{i}") for i in range(KEYED)))
-    gaps = F.transform(F.arrays_zip("a_lo", "a_hi", "lo", "hi"), lambda z: F.greatest(z["a_lo"] - z["hi"], z["lo"] - z["a_hi"], F.lit(0.0)))
-    apart = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
-    pairs = near.join(boxes, cell).filter((F.col("a") <= F.col("block")) & (apart <= (epsilon + SLACK) ** 2)).select("a", F.col("block").alias("b"))
-    data = blocks.select(F.col("block").alias("b"), "d", "reps", "ms", "v", "p")
-    # a block and the ones it meets come to one task in a row, itself first; blocks with many partners are spread
-    pairs = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    pairs = pairs.unionByName(pairs.select("a", F.col("a").alias("b"), "s")).distinct()
-    met = pairs.join(data, "b").repartition("a", "s").sortWithinPartitions("a", "s", F.col("a") != F.col("b"), "b")
+    near = cells.withColumn("o", F.explode(around)).select(F.col("tile").alias("a"), "d", *((F.col(f"c{i}") + F.col(f"o.o{i}")).alias(f"c{i}") for i in range(KEYED))).distinct()
+    pairs = near.join(cells, cell).filter(F.col("a") <= F.col("tile")).select("a", F.col("tile").alias("b")).distinct()
+    pairs = pairs.join(names.toDF("a", "a_path"), "a").join(names.toDF("b", "b_path"), "b").join(tiles.select(F.col("tile").alias("a"), "d"), "a")
+    pairs = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS))).repartition(max(1, min(4 * tiles.count(), 8192)), "a", "s").sortWithinPartitions("a", "s", "b")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, None
+        files, _ = fs.FileSystem.from_uri(folder)
+
+        def load(name: int, path: str, d: int) -> Tile:
+            with files.open_input_file(path) as f:
+                return Tile(name, f.read(), axes_of(d))
+
+        mine = None
         for batch in batches:
             for r in batch.to_pylist():
-                x = np.frombuffer(r["v"]).reshape(len(r["reps"]), int(r["d"]))
-                here = (_unit(x), np.frombuffer(r["p"]).reshape(len(r["reps"]), DIMENSIONS), np.array(r["reps"]), np.array(r["ms"]), r["b"])
-                if (r["a"], r["s"]) != at:
-                    at, mine = (r["a"], r["s"]), here
-                if r["a"] == r["b"] and r["s"] != r["own"]:
-                    continue  # here only to be met
-                out = _linked(mine, here, epsilon, threshold)
+                if mine is None or mine.name != r["a"]:
+                    mine = load(r["a"], r["a_path"], r["d"])
+                out = _linked(mine, mine if r["a"] == r["b"] else load(r["b"], r["b_path"], r["d"]), epsilon, threshold)
                 if out is not None:
                     yield out
 
-    own = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("own")
-    links = stored(met.select("a", "s", own, "b", "d", "reps", "ms", "v", "p").mapInArrow(joined, "u bigint, v bigint, n bigint"))
+    links = stored(pairs.select("a", "a_path", "b", "b_path", "d").mapInArrow(joined, "u bigint, v bigint, n bigint"))
     counts = links.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(links.filter("v is not null").select("u", "v"))
-    found = classes.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    found = found.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = usable.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    out = salted.join(found, ["v", "s"]).select("vec_id", "n_links", "component_id")
-    out = out.unionByName(rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    slim = tiles.select(F.explode(F.arrays_zip("reps", "ms")).alias("x")).select(F.col("x.reps").alias("rep"), F.col("x.ms").alias("m"))
+    outcome = lambda x: x.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumns({"n_links": F.coalesce("n", F.lit(0)) + F.col("m") - 1, "component_id": F.coalesce("component", "rep")})
+    alone = outcome(slim.filter("m = 1")).select(F.col("rep").alias("vec_id"), "n_links", "component_id")
+    # copies find their class by two 64-bit hashes of the vector, so that vectors are not shuffled again; hot classes are salted
+    keyed = usable.select("vec_id", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
+    several = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    several = outcome(several).select("h1", "h2", "n_links", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    copies = keyed.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(several, ["h1", "h2", "s"]).select("vec_id", "n_links", "component_id")
+    none = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = alone.unionByName(copies).unionByName(none)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-BLOCKS = ["block", "d", "c0", "c1", "c2", "lo", "hi", "reps", "ms", "v", "p"]
-
-
-def _linked(a: tuple, b: tuple, epsilon: float, threshold: float) -> pa.RecordBatch | None:
-    """Rows (rep, null, links counted as rows) and (rep, rep, null) of two blocks."""
-    same = a[4] == b[4]
-    n, m = np.zeros(len(a[2]), np.int64), np.zeros(len(b[2]), np.int64)
-    forest = Forest(len(a[2]) + (0 if same else len(b[2])))
-    shift = 0 if same else len(a[2])
-    for i, k, hit in join_blocks(a[0], b[0], a[1], b[1], epsilon, threshold, same):
-        n[i : i + hit.shape[0]] += hit @ b[3][k : k + hit.shape[1]]
-        m[k : k + hit.shape[1]] += a[3][i : i + hit.shape[0]] @ hit
-        for x, y in zip(*np.nonzero(hit), strict=True):
-            forest.link(int(x) + i, int(y) + k + shift)
-    reps = np.r_[a[2], [] if same else b[2]].astype(np.int64)
+TILES = pa.schema([("tile", pa.int64()), ("path", pa.string()), ("d", pa.int32()), ("cells", pa.list_(pa.struct([("c0", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())]))), ("reps", pa.list_(pa.int64())), ("ms", pa.list_(pa.int64()))])
+
+
+def _linked(a: Tile, b: Tile, epsilon: float, threshold: float) -> pa.RecordBatch | None:
+    """Rows (rep, null, links counted as rows) and (rep, rep, null) of two tiles."""
+    same = a.name == b.name
+    n, m = np.zeros(len(a.reps), np.int64), np.zeros(len(b.reps), np.int64)
+    shift = 0 if same else len(a.reps)
+    forest = Forest(shift + len(b.reps))
+    gap = np.maximum(0, np.maximum(a.lo[:, None] - b.hi[None], b.lo[None] - a.hi[:, None]))
+    close = (gap * gap).sum(-1) <= (epsilon + SLACK) ** 2
+    if same:
+        close = np.triu(close)
+    for s, t in np.argwhere(close):
+        for i, k, hit in join_blocks(a, b, a.spans[s], b.spans[t], epsilon, threshold):
+            n[i : i + hit.shape[0]] += hit @ b.ms[k : k + hit.shape[1]]
+            m[k : k + hit.shape[1]] += a.ms[i : i + hit.shape[0]] @ hit
+            for x in np.flatnonzero(hit.any(1)):
+                forest.link(int(x) + i, np.flatnonzero(hit[x]) + k + shift)
+    reps = a.reps if same else np.r_[a.reps, b.reps]
     counts = n + m if same else np.r_[n, m]
     at = np.flatnonzero(counts)
     if not len(at):
