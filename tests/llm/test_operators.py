@@ -86,3 +86,19 @@ def test_empty_tables(spark, docs):
     assert sharding.interleave(none, 4).count() == 0
     assert minhash.near_duplicates(none).count() == 0
     assert suffixes.repeats(none).count() == 0
+
+
+def test_short_texts_in_crowded_lists_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join([*common, *(f"u{d}_{i}" for i in rng.integers(0, 9, 6))]) for d in range(300)]
+    texts += [" ".join(x) for x in ([*common, "p", "q", "r"], [*common, "p", "q", "s"])] + [t + " end" for t in texts[:100]]
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    least = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                lo, hi = sorted((least[i], least[j]))
+                least = [lo if x == hi else x for x in least]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()}
+    assert got == dict(enumerate(least))
