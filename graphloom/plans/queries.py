@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ask, chunk, clean, extract, graph, merge
+from ..operators import answer, ask, chunk, clean, extract, graph, merge
 from ..sources import files
 
 VOCABULARY = [("thing", "Device"), ("tion the", "Parameter"), ("heand", "Fault"), ("stand", "Fault"), ("edin", "Symptom"), ("onthe", "Cause"), ("with", "Method"), ("ouen", "Action")]
@@ -263,6 +263,16 @@ def confidence(spark, sf_dir):
     return rows.withColumn("level", ask.level(F.col("score")))
 
 
+@query()
+def graph_answers(spark, sf_dir):
+    """Answers to all user turns that name a term, from the relations of all documents."""
+    edges = document_relations(spark, sf_dir).select(F.col("head_entity").alias("src"), F.col("head_type").alias("src_type"), "relation", F.col("tail_entity").alias("dst"), F.col("tail_type").alias("dst_type"), F.col("doc_id").cast("string").alias("file_name"), F.col("ord").cast("string").alias("page"), "source_sentence", F.col("doc_id").alias("ord"))
+    known = {"causal": "故障症状", "method": "使用方法", "place": "参数要求"}
+    asked = questions(spark, sf_dir).select("conv_id", "turn", "text", T.label(F.col("intent"), known, F.lit("综合查询")).alias("intent"))
+    asked = asked.join(entity_match_top1(spark, sf_dir), ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("question_id"), F.col("text").alias("question"), "intent", F.col("name").alias("entity"))
+    return answer.answers(asked, edges).select("question_id.conv_id", "question_id.turn", "entity", "intent", F.md5("answer").alias("answer_md5"), "score", "level", "graph_hits", "evidences")
+
+
 PAGES = "(SELECT coalesce(d.doc_id, l.doc_id) AS page, CASE WHEN nullif(d.text, '') IS NOT NULL AND d.doc_id % 3 <> 0 THEN 'text_clean' WHEN l.doc_id IS NOT NULL THEN 'ocr_clean' ELSE 'empty' END AS selected_source FROM documents d FULL JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id)"
 
 
