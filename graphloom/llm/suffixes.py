@@ -1,13 +1,13 @@
 """Repeated passages by a sparse suffix array over words.
 
 Of the suffixes that begin at any word, only those at minimiser positions are retained: where the hash of BASE words is the least
-of WINDOW neighbouring ones. Two equal runs of MIN_WORDS = BASE + WINDOW - 1 words retain the same places, so no such
-repeat is missed. Retained suffixes are sorted by their first BASE words and the words after and before; those that agree
-are neighbours, and a match is extended over the words to its left and right that agree too. What reaches MIN_WORDS
-is a repeat; suffixes overlap, so a long repeat is the union of theirs.
+of WINDOW neighbouring ones. Every run of MIN_WORDS = BASE + WINDOW - 1 words belongs to the one retained suffix that is its
+minimiser, and two equal runs have theirs at the same place. Retained suffixes are sorted by their first BASE words; each
+carries a 64-bit hash of every whole run of MIN_WORDS words that belongs to it, so runs are equal if both hashes are (128 bits):
+a passage is as long as the equal runs reach, to the word, however many documents hold it.
 
-Suffixes that agree in BASE words and in the words around are merged in each task before the shuffle, so a passage that a third
-of all documents hold sends one row per task, not one per document.
+Runs that a document of smaller id in the same group of texts holds too are settled before the shuffle, so a passage that a
+third of all documents hold sends one row per group, not one per document.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from .wordhash import mix, ranges, words
 
 BASE, WINDOW = 40, 11
 MIN_WORDS = BASE + WINDOW - 1
-#: Words of context on either side, as codes of six bits; EDGE: there is no such word.
-AROUND, BITS, EDGE = WINDOW - 1, 6, 63
-SUFFIX = "g bigint, r bigint, l bigint, doc_id bigint, pos bigint"
+SUFFIX = "g bigint, doc_id bigint, begin_word bigint, runs binary"
 SPAN = "doc_id bigint, begin_word bigint, end_word bigint, ref_doc_id bigint"
 #: Sorted suffixes that a worker takes at once, or one group of equal ones.
 ROWS_AT_ONCE = 50_000
+#: Runs that a worker compares at once before the shuffle: some 12 MB of text.
+RUNS_AT_ONCE = 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,65 +56,51 @@ def _gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def retained(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """(g, r, l, text index, word position) of the suffixes at minimiser positions."""
+    """(g, run, text index, word position) of every run of MIN_WORDS words, in order: its suffix's BASE words, its own hash."""
     h, _, _, doc, _ = words(texts)
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if len(h) < MIN_WORDS:
-        return none
-    g = _gram_hashes(h, BASE)
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    first, last = bounds[doc], bounds[doc + 1]
     starts = len(h) - MIN_WORDS + 1
-    inside = np.flatnonzero(np.arange(starts) + MIN_WORDS <= last[:starts])
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    inside = np.flatnonzero(np.arange(starts) + MIN_WORDS <= bounds[doc[:starts] + 1]) if starts > 0 else np.zeros(0, np.int64)
     if not len(inside):
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), inside, inside
+    g = _gram_hashes(h, BASE)
     view = sliding_window_view(g, WINDOW)
-    at = np.unique(np.concatenate([i + view[i].argmin(1) for i in np.array_split(inside, -(-len(inside) // 200_000))]))
-    code = ((h >> np.uint64(58)) % np.uint64(EDGE)).astype(np.int64)
-    r, left = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for t in range(AROUND):
-        i, j = at + BASE + t, at - 1 - t
-        r |= np.where(i < last[at], code[np.minimum(i, len(code) - 1)], EDGE) << (BITS * t)
-        left |= np.where(j >= first[at], code[np.maximum(j, 0)], EDGE) << (BITS * t)
-    return g[at].view(np.int64), r, left, doc[at], at - first[at]
-
-
-def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words of context that agree, from the nearest on."""
-    out, open_ = np.zeros(len(a), np.int64), np.ones(len(a), bool)
-    for t in range(AROUND):
-        x, y = (a >> (BITS * t)) & EDGE, (b >> (BITS * t)) & EDGE
-        open_ &= (x == y) & (x != EDGE)
-        out += open_
+    at = np.concatenate([i + view[i].argmin(1) for i in np.array_split(inside, -(-len(inside) // 200_000))])
+    run = mix(g[inside] * _P + _gram_hashes(h, MIN_WORDS - BASE)[inside + BASE])
+    return g[at].view(np.int64), run, doc[inside], inside - bounds[doc[inside]]
+
+
+def _least_holder(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each run, the least id of those that are equal to it: order brings these together, new marks the first of each."""
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
 
 
-def matched(g: np.ndarray, r: np.ndarray, left: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(doc, begin, end, ref) of each suffix that repeats, over MIN_WORDS words or more, one of a document of smaller id."""
-    order = np.lexsort((pos, doc, g))
-    order = order[np.isin(g[order], g[order][1:][g[order][1:] == g[order][:-1]])]
-    g, r, left, doc, pos = (x[order] for x in (g, r, left, doc, pos))
-    best, l_best, r_best, ref = np.full(len(g), -1, np.int64), np.zeros(len(g), np.int64), np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
-    for i in range(AROUND + 1):  # i words to the left and the rest to the right
-        l_mask, r_mask = (1 << (BITS * i)) - 1, (1 << (BITS * (AROUND - i))) - 1
-        l_part, r_part = left & l_mask, r & r_mask
-        whole = (_reach(left | ~l_mask & ((1 << 60) - 1), left | ~l_mask & ((1 << 60) - 1)) >= i) & (_reach(r | ~r_mask & ((1 << 60) - 1), r | ~r_mask & ((1 << 60) - 1)) >= AROUND - i)
-        at = np.flatnonzero(whole)
-        if len(at) < 2:
-            continue
-        key = mix(mix(g[at].view(np.uint64) + l_part[at].view(np.uint64) * _P) + r_part[at].view(np.uint64))
-        o = np.lexsort((pos[at], doc[at], key))
-        at, key = at[o], key[o]
-        new = np.r_[True, key[1:] != key[:-1]]
-        lead = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        hit = doc[lead] < doc[at]
-        at, lead = at[hit], lead[hit]
-        a, b = _reach(left[at], left[lead]), _reach(r[at], r[lead])
-        more = a + b > best[at]
-        at, lead, a, b = at[more], lead[more], a[more], b[more]
-        best[at], l_best[at], r_best[at], ref[at] = a + b, a, b, doc[lead]
-    hit = best >= 0
-    return doc[hit], pos[hit] - l_best[hit], pos[hit] + BASE + r_best[hit], ref[hit]
+def _joined(doc: np.ndarray, begin: np.ndarray, ref: np.ndarray) -> list[np.ndarray]:
+    """SPAN columns of runs, given in order; those of one text that touch become one span."""
+    if not len(doc):
+        return [np.zeros(0, np.int64)] * 4
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + MIN_WORDS) | (begin[1:] <= begin[:-1])])
+    last = np.r_[first[1:], len(doc)] - 1
+    return [doc[first], begin[first], begin[last] + MIN_WORDS, np.minimum.reduceat(ref, first)]
+
+
+def matched(g: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
+    """SPAN columns of what suffixes, sorted by g, repeat of documents of smaller id. n: how many of run each has, from begin on."""
+    same = g[1:] == g[:-1]
+    often = np.r_[False, same] | np.r_[same, False]
+    run = run[np.repeat(often, n)]
+    g, doc, begin, n = g[often], doc[often], begin[often], n[often]
+    if not len(g):
+        return [np.zeros(0, np.int64)] * 4
+    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(run))
+    g, doc = np.repeat(g, n), np.repeat(doc, n)
+    order = np.lexsort((run, g))
+    new = np.r_[True, (g[order][1:] != g[order][:-1]) | (run[order][1:] != run[order][:-1])]
+    least = _least_holder(order, new, doc)
+    hit = np.flatnonzero(least < doc)
+    return _joined(doc[hit], at[hit], least[hit])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,35 +113,44 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     ship(docs.sparkSession)
 
+    names = ["g", "doc_id", "begin_word", "runs", "end_word", "ref_doc_id"]
+
+    def rows_of(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """The first holder of each run goes on (no ref); where another holds it too, its span is settled."""
+        g, run, doc, begin = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(run)
+        new = np.r_[True, run[order][1:] != run[order][:-1]]
+        least = _least_holder(order, new, doc)
+        hit = np.flatnonzero(least < doc)
+        spans = [pa.array(x, pa.int64()) for x in _joined(doc[hit], begin[hit], least[hit])]
+        if len(spans[0]):
+            none = len(spans[0])
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), spans[0], spans[1], pa.nulls(none, pa.binary()), spans[2], spans[3]], names)
+        on = np.flatnonzero(least == doc)
+        g, run, doc, begin = (x[on] for x in (g, run, doc, begin))
+        first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] != begin[:-1] + 1)])
+        ends = np.r_[first[1:], len(g)]
+        for part in np.array_split(np.arange(len(first)), -(-len(first) // 50_000)):
+            lo, hi = first[part[0]], ends[part[-1]]
+            offsets = (np.r_[first[part], hi] - lo) * 8
+            runs = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(run[lo:hi].tobytes())])
+            open_ = [pa.array(x[first[part]], pa.int64()) for x in (g, doc, begin)]
+            yield pa.RecordBatch.from_arrays([*open_, runs, pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64())], names)
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first of equal suffixes of this task goes on (ref -1); the others are repeats already."""
-        parts: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             ids = np.asarray(batch.column(0).to_pylist(), np.int64)
             texts = batch.column(1).to_pylist()
             for i, j in ranges(texts):
-                g, r, left, doc, pos = retained(texts[i:j])
+                g, run, doc, begin = retained(texts[i:j])
                 if len(g):
-                    parts.append((g, r, left, ids[i + doc], pos))
-        if not parts:
-            return
-        g, r, left, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        order = np.lexsort((pos, doc, left, r, g))
-        g, r, left, doc, pos = (x[order] for x in (g, r, left, doc, pos))
-        new = np.r_[True, (g[1:] != g[:-1]) | (r[1:] != r[:-1]) | (left[1:] != left[:-1])]
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        goes = doc == doc[lead]
-        a, b = _reach(left, left), _reach(r, r)
-        known = ~goes & (a + b >= AROUND)
-        ref = np.where(known, doc[lead], -1)
-        kept = np.flatnonzero(goes | known)
-        for part in np.array_split(kept, -(-len(kept) // 100_000)):
-            own = known[part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (g[part], r[part], left[part], doc[part], pos[part], np.where(own, pos[part] - a[part], 0), np.where(own, pos[part] + BASE + b[part], 0))] + [pa.array(ref[part], pa.int64(), mask=~own)],
-                ["g", "r", "l", "doc_id", "pos", "begin_word", "end_word", "ref_doc_id"],
-            )
+                    held.append((g, run, ids[i + doc], begin))
+                if sum(len(x[0]) for x in held) >= RUNS_AT_ONCE:
+                    yield from rows_of(held)
+        if held:
+            yield from rows_of(held)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -165,21 +160,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         for batch in batches:
             # what a task before has settled passes through
-            settled = batch.filter(pa.compute.is_valid(batch.column(7)))
+            settled = batch.filter(pa.compute.is_valid(batch.column(5)))
             if settled.num_rows:
-                yield pa.RecordBatch.from_arrays([settled.column(i) for i in (3, 5, 6, 7)], ["doc_id", "begin_word", "end_word", "ref_doc_id"])
-            open_ = batch.filter(pa.compute.is_null(batch.column(7)))
+                yield pa.RecordBatch.from_arrays([settled.column(i) for i in (1, 2, 4, 5)], ["doc_id", "begin_word", "end_word", "ref_doc_id"])
+            open_ = batch.filter(pa.compute.is_null(batch.column(5)))
             if not open_.num_rows:
                 continue
-            held.append(tuple(open_.column(i).to_numpy() for i in range(5)))
+            n = pa.compute.binary_length(open_.column(3)).to_numpy().astype(np.int64) // 8
+            held.append((*(open_.column(i).to_numpy() for i in range(3)), n, np.frombuffer(b"".join(open_.column(3).to_pylist()), np.uint64)))
             if sum(len(y[0]) for y in held) < ROWS_AT_ONCE:
                 continue
             g = held[-1][0]
             if g[0] != g[-1] or (len(held) > 1 and held[0][0][0] != g[-1]):  # all but the last group are complete
                 x = tuple(np.concatenate(y) for y in zip(*held, strict=True))
                 done = np.searchsorted(x[0], x[0][-1], "left")
-                yield spans(tuple(y[:done] for y in x))
-                held = [tuple(y[done:] for y in x)]
+                runs = x[3][:done].sum()
+                yield spans((*(y[:done] for y in x[:4]), x[4][:runs]))
+                held = [(*(y[done:] for y in x[:4]), x[4][runs:])]
         if held:
             yield spans(tuple(np.concatenate(y) for y in zip(*held, strict=True)))
 
@@ -199,10 +196,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield _spans([at])
 
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sparse = rows.mapInArrow(suffixes, f"{SUFFIX}, begin_word bigint, end_word bigint, ref_doc_id bigint")
+    sparse = rows.mapInArrow(suffixes, f"{SUFFIX}, end_word bigint, ref_doc_id bigint")
     known = F.col("ref_doc_id").isNotNull()
     # settled rows go to their document's place at once, the others to their suffix's
-    found = sparse.repartition(F.when(known, F.xxhash64("doc_id")).otherwise(F.col("g"))).sortWithinPartitions("g", "r", "l", "doc_id", "pos").mapInArrow(neighbours, SPAN)
+    found = sparse.repartition(F.when(known, F.xxhash64("doc_id")).otherwise(F.col("g"))).sortWithinPartitions("g").mapInArrow(neighbours, SPAN)
     return found.repartition("doc_id").sortWithinPartitions("doc_id", "begin_word", "end_word", "ref_doc_id").mapInArrow(union, SPAN)
 
 

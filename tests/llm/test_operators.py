@@ -102,3 +102,40 @@ def test_short_texts_in_crowded_lists_lose_no_link(spark):
                 least = [lo if x == hi else x for x in least]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()}
     assert got == dict(enumerate(least))
+
+
+def test_crowded_passages_end_at_the_word(spark):
+    rows = []
+    for d in range(3000):  # 49, 50 and, of half of them, 55 words that all hold
+        own = [[f"{d}{x}{i}" for i in range(15)] for x in "abcd"]
+        shared = [[f"{x}{i}" for i in range(n)] for x, n in (("s", 49), ("t", 50), ("u", 55 if d % 2 else 0))]
+        rows.append((d, " ".join(sum((a + b for a, b in zip(own, shared, strict=False)), []) + own[3])))
+    got = {}
+    for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r["doc_id"], []).append((r["begin_word"], r["end_word"]))
+        assert 0 <= r["ref_doc_id"] < r["doc_id"]
+    assert got == {d: [(79, 129)] + [(144, 199)] * (d % 2 and d > 1) for d in range(1, 3000)}
+
+
+def test_repeats_equal_all_runs_of_fifty_words(spark):
+    rng = np.random.default_rng(5)
+    pool = [[f"p{k}_{i}" for i in range(90)] for k in range(4)]
+    rows = []
+    for d in range(60):
+        text = []
+        for k in rng.integers(0, 4, 3):
+            a = rng.integers(0, 40)
+            text += [f"{d}_{i}" for i in range(rng.integers(0, 9))] + pool[k][a : a + rng.integers(45, 60)] + ["the"] * rng.integers(0, 70)
+        rows.append((d, " ".join(text)))
+    seen, want = {}, {}
+    for d, text in rows:
+        w = text.split()
+        runs = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        covered = sorted({i + t for i, x in enumerate(runs) if seen.get(x, d) < d for t in range(50)})
+        for x in runs:
+            seen.setdefault(x, d)
+        want[d] = covered
+    got = {d: [] for d, _ in rows}
+    for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] += range(r["begin_word"], r["end_word"])
+    assert {d: sorted(x) for d, x in got.items()} == want
