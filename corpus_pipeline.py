@@ -18,8 +18,14 @@ WINDOW = 4096
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those of no letters (null, empty, digits and signs only) go."""
-    return langid.identify(docs, langid.train(docs)).filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    """Documents in which a language is found; those of no letters (null, empty, digits and signs only) go.
+
+    Where no row has a label to learn from, there is no model, and documents that have letters stay.
+    """
+    model = langid.train(docs)
+    if model is None:
+        return langid.lettered(docs).select(*COLUMNS)
+    return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,6 +180,17 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def has(texts: pd.Series) -> pd.Series:
+        return pd.Series([_has_letter(t) for t in texts.tolist()], dtype=bool)
+
+    return docs.filter(has(F.col(text_col)))
+
+
 def _slices(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     """Groups of whole texts, or parts of one long text cut at line ends or spaces, of about SLICE characters each."""
     group: list[int] = []

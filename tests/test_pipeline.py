@@ -1,0 +1,15 @@
+import corpus_pipeline
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("langs", [(None, None, None), ("en", None, None)])
+def test_documents_stay_where_labels_are_missing(spark, langs):
+    # crc32("15") % 4 = 2: the only label is held out
+    rows = [(15, "some plain words", langs[0]), (2, "日本語", langs[1]), (3, "é", langs[2]), (4, "12 $ 34", None), (5, "", None), (6, None, None)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, table(spark, rows), "").collect()) == [2, 3, 15]
