@@ -40,7 +40,11 @@ class WordBpe(dict):
         suffix, chars = spec["model"]["end_of_word_suffix"], _bytes_of_chars()
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise OSError("ids are packed as this machine holds them: little-endian 32-bit integers are needed")
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t[x] for t in spec["added_tokens"] for x in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens are sought in texts as they are, with nothing around them")
+        self.added = {content: array("I", [i]).tobytes() for content, i in special.items()}
+        self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         ranks = {}
         for token, i in spec["model"]["vocab"].items():
             if token not in special:
@@ -77,5 +81,8 @@ class WordBpe(dict):
         return packed
 
     def packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        """The ids of a text as little-endian unsigned 32-bit integers. Added tokens are found first; words are between them."""
+        if not any(content in text for content in self.added):
+            return b"".join(map(self.__getitem__, text.encode().split()))
+        parts = self.around.split(text)
+        return b"".join(self.added[part] if i % 2 else b"".join(map(self.__getitem__, part.encode().split())) for i, part in enumerate(parts))

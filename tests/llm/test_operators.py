@@ -6,7 +6,7 @@ import zipfile
 import numpy as np
 import public_tokenizers
 import pytest
-from graphloom.llm import bytebpe, chat, egojoin, minhash, packing, sharding, suffixes, warc
+from graphloom.llm import bytebpe, chat, egojoin, minhash, packing, sharding, suffixes, warc, wordbpe
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -139,3 +139,12 @@ def test_repeats_equal_all_runs_of_fifty_words(spark):
     for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r["doc_id"]] += range(r["begin_word"], r["end_word"])
     assert {d: sorted(x) for d, x in got.items()} == want
+
+
+def test_added_tokens_as_the_library_encodes_them():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, ours = tokenizers.Tokenizer.from_file(path), wordbpe.WordBpe(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "It's<|endoftext|>s é<|endoftext|", "<|ENDOFTEXT|> <|<|endoftext|>|>", "<|endoftext|>\u0301x", "plain."]
+    for text in texts:
+        assert np.frombuffer(ours.packed(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
