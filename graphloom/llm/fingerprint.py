@@ -1,7 +1,7 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions alone.
 
-A document is a multiset of paragraphs (lines), and a paragraph one of units (clauses; words if it is short), so that a
-document of one paragraph has several. Each unit is hashed to a wide vector of 0/1 lanes times its length; the fingerprint
+A document is a multiset of paragraphs (lines), and a paragraph one of units (clauses; words if it or a clause of it cannot be
+cut into short ones; character grams of what has no spaces), so that a document of one paragraph has several. Each unit is hashed to a wide vector of 0/1 lanes times its length; the fingerprint
 is the sum of the vectors, each lane modulo 2**31, with the sum of the lengths. Sums do not depend on order; adding or taking
 away a paragraph's vector inserts or deletes it. Centred (twice a lane less the sum of lengths), lanes are sums of random
 signs, so the normalised inner product of two fingerprints estimates the cosine of the two multisets: their likeness.
@@ -19,20 +19,32 @@ from pyspark.sql import functions as F
 #: 64-bit words of a fingerprint; each holds two lanes of LANE_BITS bits, 32 bits apart.
 WORDS, LANE_BITS = 48, 31
 ONES, MASK = 1 | 1 << 32, (1 << 31) - 1 | ((1 << 31) - 1) << 32
-CLAUSE_END, WORD_END = r"(?<=[.,;:!?])", r"(?<= )"
-#: Paragraphs under SHORT characters are taken by word; no unit weighs more than HEAVIEST.
-SHORT, HEAVIEST = 120, 65535
+CLAUSE_END, WORD_END = r"(?<=[.,;:!?。，、；：！？．｡､…])", r"(?<= )"
+#: Paragraphs under SHORT characters and clauses over CLAUSE are taken by word, words over WORD by grams: no unit is longer.
+SHORT, CLAUSE, WORD = 120, 60, 24
+#: Each character with the three after it, in one pass.
+GRAM = r"(?s)(?=(.{4}))."
 #: Ids per bucket and buckets per group, as powers of two, where neighbours by id are sought.
 BUCKET_BITS, GROUP_BITS = 8, 10
 
 
 def units(text: Column) -> Column:
-    """The paragraphs' units: words of a short paragraph, clauses of any other."""
+    """The paragraphs' units: words of a short paragraph or a long clause, clauses of any other; grams of what has no spaces."""
 
-    def cut(p: Column) -> Column:
+    def clauses(p: Column) -> Column:
         return F.when(F.length(p) < SHORT, F.split(p, WORD_END, -1)).otherwise(F.split(p, CLAUSE_END, -1))
 
-    return F.filter(F.flatten(F.transform(F.split(text, "\n", -1), cut)), lambda u: u != "")
+    def words(c: Column) -> Column:
+        return F.when(F.length(c) > CLAUSE, F.split(c, WORD_END, -1)).otherwise(F.array(c))
+
+    def grams(w: Column) -> Column:
+        one = F.instr(F.rtrim(F.ltrim(w)), " ") == 0
+        return F.when((F.length(w) > WORD) & one, F.regexp_extract_all(w, F.lit(GRAM), F.lit(1))).otherwise(F.array(w))
+
+    out = F.split(text, "\n", -1)
+    for cut in (clauses, words, grams):
+        out = F.flatten(F.transform(out, cut))
+    return F.filter(out, lambda u: u != "")
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str, to: str = "fp") -> DataFrame:
@@ -41,7 +53,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text_col: str, to: str = "fp"
     An empty text has the fingerprint of zeros. If rows are partitioned by some of the keys, nothing is shuffled.
     """
     each = rows.select(*keys, F.explode_outer(units(F.col(text_col))).alias("_u"))
-    each = each.select(*keys, *(F.xxhash64("_u", F.lit(i)).alias(f"_h{i}") for i in range(-(-WORDS // 32))), F.coalesce(F.least(F.length("_u"), F.lit(HEAVIEST)), F.lit(0)).cast("long").alias("_w"))
+    each = each.select(*keys, *(F.xxhash64("_u", F.lit(i)).alias(f"_h{i}") for i in range(-(-WORDS // 32))), F.coalesce(F.length("_u"), F.lit(0)).cast("long").alias("_w"))
     lanes = [F.sum(F.shiftright(F.col(f"_h{j // 32}"), j % 32).bitwiseAND(F.lit(ONES)) * F.col("_w")).alias(f"_{j}") for j in range(WORDS)]
     summed = each.groupBy(*keys).agg(F.sum("_w").alias("_n"), *lanes)
     return summed.select(*keys, F.array("_n", *(f"_{j}" for j in range(WORDS))).alias(to))

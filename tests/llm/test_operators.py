@@ -6,7 +6,7 @@ import zipfile
 import numpy as np
 import public_tokenizers
 import pytest
-from graphloom.llm import bytebpe, chat, egojoin, minhash, packing, sharding, suffixes, warc, wordbpe
+from graphloom.llm import bytebpe, chat, egojoin, fingerprint, minhash, packing, sharding, suffixes, warc, wordbpe
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -148,3 +148,17 @@ def test_added_tokens_as_the_library_encodes_them():
     texts = ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "It's<|endoftext|>s é<|endoftext|", "<|ENDOFTEXT|> <|<|endoftext|>|>", "<|endoftext|>\u0301x", "plain."]
     for text in texts:
         assert np.frombuffer(ours.packed(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_likeness_of_texts_without_clauses(spark):
+    def text(kind, d):
+        rng = np.random.default_rng(d)
+        if kind == "words":
+            return " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300))
+        han = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 90 if kind == "short" else 2000))
+        return "。".join(han[i : i + 40] for i in range(0, 2000, 40)) if kind == "stops" else han
+
+    for kind in ("words", "han", "stops", "short"):
+        rows = fingerprint.neighbours(spark.createDataFrame([(d, text(kind, d)) for d in range(4)], "doc_id long, text string")).collect()
+        for r in rows:  # two thirds of each text stay: about 0.67, and 0.1 of noise
+            assert 0.35 < r["near_edited"] < 0.95 and r["near_next"] < 0.4, (kind, r["near_edited"], r["near_next"])
