@@ -5,12 +5,13 @@
    one: of pairs of Jaccard 0.8 about one in four million shares no such run (at 0.85, one in 200 million), while sets that
    share a passage hardly ever do. Sets of up to SMALL shingles retain all of them and are listed under their rarest ones
    instead: as many as a similar set cannot all lack, so that no pair is missed and frequent shingles make no long lists.
-3. In a short list all members meet. In a longer one, every member meets PIVOTS members (the most central one and two others,
-   the same ones in list after list): pairs grow in proportion to members. A pair is dropped if the union of its sketches says
-   its similarity is well below the threshold; what is left joins documents to clusters, which are wider than groups of
-   near-duplicates.
+3. To find most links cheaply, all members meet in a short list. In a longer one, every member meets PIVOTS members (the most
+   central one and two others, the same ones in list after list): pairs grow in proportion to members. A pair is put off if
+   the union of its sketches says its similarity is well below the threshold; what is left joins documents to clusters,
+   which are wider than groups of near-duplicates.
 4. In each cluster, full sets are compared exactly, all with all, in pairs of blocks; only a forest of the links is returned.
-   Long lists of small sets that this leaves in more than one component are compared in the same way.
+5. Lists of any length that this leaves in more than one component are compared in the same way, but for pairs of their
+   largest component. So no pair that shares a list is lost to pivots, sketches or sizes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .wordhash import mix, ranges, signed, words
 BOTTOM, RUN, SMALL, PIVOTS = 64, 3, 80, 3
 #: All members of a list meet up to this length: lists of runs, lists of small sets.
 SHORT_RUNS, SHORT_SMALL = 8, 64
-#: A pair is dropped unless its estimate reaches the threshold less this (over four standard deviations at BOTTOM values).
+#: A pair is put off unless its estimate reaches the threshold less this (over four standard deviations at BOTTOM values).
 MARGIN_PERCENT = 22
 #: Documents of a block, on average.
 BLOCK = 1024
@@ -125,9 +126,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     clusters = stored(components(likely.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     links = stored(_linked(docs, clusters, k, percent))
     labels = stored(components(links))
-    mixed = stored(_mixed_lists(long.filter("small"), labels))
-    if not mixed.isEmpty():
-        labels = stored(components(links.unionByName(_linked(docs, mixed, k, percent))))
+    open_ = stored(_open_lists(lists, labels))
+    if not open_.isEmpty():
+        labels = stored(components(links.unionByName(_linked(docs, open_, k, percent))))
     grouped = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
     # a class's representative may be linked with nothing but its copies; it is its own component's least id then
     whole = labels.unionByName(grouped)
@@ -155,11 +156,17 @@ def _meet_all(members: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "key").filter("a > b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
 
-def _mixed_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, component for the members of lists that hold more than one component: a list is a cluster that is still to compare."""
-    marked = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("at", F.coalesce("component", "doc_id"))
-    mixed = marked.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("key")
-    return members.join(mixed, "key").select(F.col("doc_id").alias("node"), F.col("key").alias("component")).distinct()
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, component, main for the members of lists of any length that hold more than one component: each is still to compare.
+
+    main: the member is of the list's largest component, whose members need not be compared with each other. Of lists of the
+    same members one is enough.
+    """
+    marked = lists.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("at", F.coalesce("component", "doc_id"))
+    parts = marked.groupBy("key", "at").agg(F.count(F.lit(1)).alias("c"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"h{i}") for i in range(2)))
+    mixed = parts.groupBy("key").agg(F.sum("c").alias("c"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"), F.max(F.struct("c", "at")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    mixed = mixed.filter("parts > 1").groupBy("c", "h0", "h1").agg(F.min(F.struct("key", F.col("top.at").alias("most"))).alias("one")).select("one.key", "one.most")
+    return marked.join(mixed, "key").select(F.col("doc_id").alias("node"), F.col("key").alias("component"), (F.col("at") == F.col("most")).alias("main"))
 
 
 def _pivots() -> list:
@@ -194,21 +201,28 @@ def _linked(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataF
     """Links (u, v) between members of a cluster (node, component) whose full sets confirm them: a forest of each block pair's.
 
     A cluster is dealt into blocks of about BLOCK documents; each pair of blocks is one task's, so a cluster of any size is
-    compared by many tasks. A block pair returns the links that join two trees, never all its pairs.
+    compared by many tasks. A block pair returns the links that join two trees, never all its pairs. Members that are
+    marked main, where there is such a column, are joined already: their blocks meet those of the others only.
     """
-    sizes = clusters.groupBy("component").agg(F.expr(f"cast((count(1) - 1) div {BLOCK} + 1 as int)").alias("blocks"))
-    sizes = sizes.select("component", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    if "main" not in clusters.columns:
+        clusters = clusters.withColumn("main", F.lit(False))
+    blocks = [F.expr(f"cast((count_if({x}) + {BLOCK - 1}) div {BLOCK} as int)").alias(name) for x, name in (("main", "joined"), ("not main", "others"))]
+    sizes = clusters.groupBy("component").agg(*blocks)
+    sizes = sizes.select("component", "joined", "others", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     dealt = clusters.withColumn("s", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(sizes, ["component", "s"])
-    dealt = dealt.select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int").alias("own"))
+    h = F.xxhash64("node", F.lit(2))
+    own = F.when(F.col("main"), F.pmod(h, F.greatest("joined", F.lit(1)))).otherwise(F.col("joined") + F.pmod(h, F.greatest("others", F.lit(1)))).cast("int")
+    # the blocks that a document meets: from `since` on, up to the last
+    dealt = dealt.select(F.col("node").alias("doc_id"), "component", F.when(F.col("main"), F.col("joined")).otherwise(F.lit(0)).alias("since"), (F.col("joined") + F.col("others")).alias("blocks"), own.alias("own"))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sets = [s for i, j in ranges(texts) for s in shingle_sets(texts[i:j], k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (2, 3, 4)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "component", "blocks", "own", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (2, 3, 4, 5)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "component", "since", "blocks", "own", "set"])
 
-    sets = docs.join(dealt, "doc_id").dropDuplicates(["doc_id", "component"]).select("doc_id", "text", "component", "blocks", "own").mapInArrow(full_sets, "doc_id bigint, component bigint, blocks int, own int, set binary")
-    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = docs.join(dealt, "doc_id").dropDuplicates(["doc_id", "component"]).select("doc_id", "text", "component", "since", "blocks", "own").mapInArrow(full_sets, "doc_id bigint, component bigint, since int, blocks int, own int, set binary")
+    spread = sets.withColumn("other", F.explode(F.sequence(F.col("since"), F.col("blocks") - 1)))
     spread = spread.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "set")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,3 +162,18 @@ def test_likeness_of_texts_without_clauses(spark):
         rows = fingerprint.neighbours(spark.createDataFrame([(d, text(kind, d)) for d in range(4)], "doc_id long, text string")).collect()
         for r in rows:  # two thirds of each text stay: about 0.67, and 0.1 of noise
             assert 0.35 < r["near_edited"] < 0.95 and r["near_next"] < 0.4, (kind, r["near_edited"], r["near_next"])
+
+
+def test_long_texts_lose_no_link_to_sketches_or_pivots(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    template = [f"t{i}" for i in range(100)]
+    texts = []
+    for d in range(30):  # alike by the template alone; each with a near copy of its own
+        own = [f"{d}_{i}" for i in rng.permutation(45)]
+        texts += [" ".join(template + own), " ".join(template + own[: 45 - d % 9])]
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    want = [min(j for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b)) for a in sets]
+    assert want == [d - d % 2 for d in range(60)]
+    monkeypatch.setattr(minhash, "MARGIN_PERCENT", -21)  # the sketches speak against every pair
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()}
+    assert got == dict(enumerate(want))
