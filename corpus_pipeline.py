@@ -29,9 +29,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that of the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that of the smallest id.
+
+    Documents without an id are nobody's duplicates and stay.
+    """
     kept = minhash.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     rolled = np.full(max(len(h) - k + 1, 0), np.uint64(k))
     for i in range(k):
-        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[i : len(rolled) + i])
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= k:
