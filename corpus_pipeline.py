@@ -20,7 +20,8 @@ WINDOW = 4096
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those of no letters (null, empty, digits and signs only) go.
 
-    Where no row has a label to learn from, there is no model, and documents that have letters stay.
+    Where no row has a label to learn from, there is no model, and documents that have letters stay. The model's label and score
+    reject nothing: the scores of random letters and of short clean texts overlap (README), so a bound would drop clean documents.
     """
     model = langid.train(docs)
     if model is None:
