@@ -51,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("minhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeated_passages), ("packing", pack)]
 
-#: No stage of models, sketches and tokenisers can be said in SQL; tests hold run() against a brute-force version.
+#: No stage of models, sketches and tokenisers can be said in SQL. tests/test_pipeline.py has small cases; run() is not held against a brute-force version.
 ORACLE_SQL = None
 
 
