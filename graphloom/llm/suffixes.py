@@ -6,7 +6,7 @@ minimiser, and two equal runs have theirs at the same place. Retained suffixes a
 carries a 64-bit hash of every whole run of MIN_WORDS words that belongs to it, so runs are equal if both hashes are (128 bits):
 a passage is as long as the equal runs reach, to the word, however many documents hold it.
 
-Runs that a document of smaller id in the same group of texts holds too are settled before the shuffle, so a passage that a
+Runs that an earlier place in the same group of texts holds too are settled before the shuffle, so a passage that a
 third of all documents hold sends one row per group, not one per document.
 """
 
@@ -15,8 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +30,8 @@ SUFFIX = "g bigint, doc_id bigint, begin_word bigint, runs binary"
 SPAN = "doc_id bigint, begin_word bigint, end_word bigint, ref_doc_id bigint"
 #: Sorted suffixes that a worker takes at once, or one group of equal ones.
 ROWS_AT_ONCE = 50_000
-#: Runs that a worker compares at once before the shuffle: some 12 MB of text.
-RUNS_AT_ONCE = 2_000_000
+#: Runs that a worker compares at once before the shuffle: some 6 MB of text.
+RUNS_AT_ONCE = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,11 +70,17 @@ def retained(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     return g[at].view(np.int64), run, doc[inside], inside - bounds[doc[inside]]
 
 
-def _least_holder(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each run, the least id of those that are equal to it: order brings these together, new marks the first of each."""
-    out = np.empty(len(doc), np.int64)
-    out[order] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return out
+def _first_place(order: np.ndarray, new: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run, the least (document, place) of those equal to it; whether it repeats that one.
+
+    order brings equal runs together, by document and place; new marks the first of each. A run that overlaps its first place
+    does not repeat it, so that the first place stays whole.
+    """
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    least, repeated = np.empty(len(doc), np.int64), np.empty(len(doc), bool)
+    least[order] = doc[first]
+    repeated[order] = (doc[first] < doc[order]) | (begin[order] >= begin[first] + MIN_WORDS)
+    return least, repeated
 
 
 def _joined(doc: np.ndarray, begin: np.ndarray, ref: np.ndarray) -> list[np.ndarray]:
@@ -87,7 +93,7 @@ def _joined(doc: np.ndarray, begin: np.ndarray, ref: np.ndarray) -> list[np.ndar
 
 
 def matched(g: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
-    """SPAN columns of what suffixes, sorted by g, repeat of documents of smaller id. n: how many of run each has, from begin on."""
+    """SPAN columns of what suffixes, sorted by g, repeat of earlier places. n: how many of run each has, from begin on."""
     same = g[1:] == g[:-1]
     often = np.r_[False, same] | np.r_[same, False]
     run = run[np.repeat(often, n)]
@@ -96,20 +102,21 @@ def matched(g: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, ru
         return [np.zeros(0, np.int64)] * 4
     at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(run))
     g, doc = np.repeat(g, n), np.repeat(doc, n)
-    order = np.lexsort((run, g))
+    order = np.lexsort((at, doc, run, g))
     new = np.r_[True, (g[order][1:] != g[order][:-1]) | (run[order][1:] != run[order][:-1])]
-    least = _least_holder(order, new, doc)
-    hit = np.flatnonzero(least < doc)
+    least, repeated = _first_place(order, new, doc, at)
+    hit = np.flatnonzero(repeated)
     return _joined(doc[hit], at[hit], least[hit])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SPAN: the runs of MIN_WORDS words or more of a document that a document of smaller id holds too.
+    """SPAN: the runs of MIN_WORDS words or more that a document of smaller id, or an earlier place of the same one, holds too.
 
     Words are runs of anything but ASCII white space, compared as they are; begin_word counts from 0, end_word is behind the last;
-    ref_doc_id is one document, of smaller id, that holds part or all of it. So the document with the smallest id keeps a
-    passage. Repeats within one document do not count; rows with one id are one document. Null ids, null texts and texts
-    of fewer than MIN_WORDS words have no repeats. An empty table gives no rows.
+    ref_doc_id is one document that holds part or all of it before: of smaller id, or this one. So the place that comes first, by
+    id and then by position, keeps a passage, and keeps it whole: what overlaps its own first place is no repeat. Rows with
+    one id are one document. Null ids, null texts and texts of fewer than MIN_WORDS words have no repeats. Ties: equal rows of one
+    id do not repeat each other. Texts of any length are whole. An empty table gives no rows.
     """
     ship(docs.sparkSession)
 
@@ -119,15 +126,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         """The first holder of each run goes on (no ref); where another holds it too, its span is settled."""
         g, run, doc, begin = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(run)
+        order = np.lexsort((begin, doc, run))
         new = np.r_[True, run[order][1:] != run[order][:-1]]
-        least = _least_holder(order, new, doc)
-        hit = np.flatnonzero(least < doc)
+        least, repeated = _first_place(order, new, doc, begin)
+        hit = np.flatnonzero(repeated)
         spans = [pa.array(x, pa.int64()) for x in _joined(doc[hit], begin[hit], least[hit])]
         if len(spans[0]):
             none = len(spans[0])
             yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), spans[0], spans[1], pa.nulls(none, pa.binary()), spans[2], spans[3]], names)
-        on = np.flatnonzero(least == doc)
+        on = np.flatnonzero(~repeated)
         g, run, doc, begin = (x[on] for x in (g, run, doc, begin))
         first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] != begin[:-1] + 1)])
         ends = np.r_[first[1:], len(g)]
@@ -208,16 +215,35 @@ def _spans(rows: list[list[int]]) -> pa.RecordBatch:
 
 
 def cut(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs whose texts lack the words of their spans, and the white space after them; other columns pass through."""
-    ship(docs.sparkSession)
-    held = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin_word", "end_word"))).alias("_spans")).withColumnRenamed("doc_id", "_span_doc")
+    """docs whose texts lack the words of their spans, and the white space after them; other columns, of any name, pass through.
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or c is None else _without(t, [(x["begin_word"], x["end_word"]) for x in c]) for t, c in zip(texts, cuts, strict=True)])
+    Rows with a null id or text, and those without spans, stay as they are. A text that loses all its words becomes empty.
+    """
+    ship(docs.sparkSession)
+    key, made = _free("_doc", docs.columns), _free("_spans", docs.columns)
+    held = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("begin_word", "end_word"))).alias(made))
+    place = docs.columns.index(text_col)
 
-    joined = docs.join(held, F.col(id_col) == F.col("_span_doc"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_spans")))).drop("_spans", "_span_doc")
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-1]
+            hit = pa.compute.and_(pa.compute.is_valid(batch.columns[-1]), pa.compute.is_valid(columns[place]))
+            if pa.compute.any(hit).as_py():
+                texts, cuts = columns[place].filter(hit).to_pylist(), batch.columns[-1].filter(hit).to_pylist()
+                new = pa.array([_without(t, [(x["begin_word"], x["end_word"]) for x in c]) for t, c in zip(texts, cuts, strict=True)], columns[place].type)
+                columns[place] = pa.compute.replace_with_mask(columns[place], hit, new)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    joined = docs.join(held, docs[id_col] == held[key], "left").select(*docs.columns, made)
+    return joined.mapInArrow(without, docs.schema)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores as it takes to differ from all taken (column names, in any case)."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
