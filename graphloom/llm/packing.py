@@ -111,6 +111,7 @@ def pack(rows: DataFrame, window: int) -> DataFrame:
         rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n))), ["length"], "_b", [F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")], "_rank"
     ).drop("_b")
     # the plan has a few rows per possible length at most, so its size is bounded by the window
-    table = spark.createDataFrame([(int(a), int(b), int(c), int(d), int(e)) for a, b, c, d, e in plan], "length bigint, _first bigint, _number bigint, _window bigint, offset bigint")
+    names = ["length", "_first", "_number", "_window", "offset"]
+    table = spark.createDataFrame(pa.table({name: pa.array([row[i] for row in plan], pa.int64()) for i, name in enumerate(names)}))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_number"))).drop(table["length"])
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_window") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")
