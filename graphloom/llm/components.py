@@ -11,10 +11,10 @@ SALTS = 16
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) with m: the least of u and its neighbours v. Hot nodes are spread by a salt."""
+    """edges (u, v) with m: the least of u and its neighbours v. Hot nodes are spread by a salt, and nothing is broadcast."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "s"]).drop("s")
+    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least.hint("merge"), ["u", "s"]).drop("s")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stored
@@ -32,8 +32,8 @@ BOTTOM, RUN, SMALL, PIVOTS = 64, 3, 80, 3
 SHORT_RUNS, SHORT_SMALL = 8, 64
 #: A pair is put off unless its estimate reaches the threshold less this (over four standard deviations at BOTTOM values).
 MARGIN_PERCENT = 22
-#: Documents of a block, on average.
-BLOCK = 1024
+#: Documents and shingles of a block, on average, at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 SALTS = 32
 LONGS = pa.list_(pa.int64())
 
@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # classes of equal sets: only their sizes and least ids move, hot ones spread by a salt
     classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("rep <> other").drop("other")
     classes = classes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = full.select("doc_id", "h1", "h2", "n", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("s")).join(classes, ["h1", "h2", "n", "s"])
+    copies = full.select("doc_id", "h1", "h2", "n", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("s")).join(classes.hint("merge"), ["h1", "h2", "n", "s"])
     copies = stored(copies.filter("doc_id <> rep").select("doc_id", "rep").distinct())
     reps = full.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     runs = reps.select("doc_id", "n", F.lit(False).alias("small"), F.explode("keys").alias("key")).distinct()
@@ -124,11 +124,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = _meet(long, long.groupBy("key").agg(*_pivots()), percent).unionByName(_meet_all(lists.filter(short), percent)).distinct()
     likely = stored(_likely(pairs, sketches, percent))
     clusters = stored(components(likely.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    links = stored(_linked(docs, clusters, k, percent))
+    links = stored(_linked(docs, clusters, sketches, k, percent))
     labels = stored(components(links))
     open_ = stored(_open_lists(lists, labels))
     if not open_.isEmpty():
-        labels = stored(components(links.unionByName(_linked(docs, open_, k, percent))))
+        labels = stored(components(links.unionByName(_linked(docs, open_, sketches, k, percent))))
     grouped = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
     # a class's representative may be linked with nothing but its copies; it is its own component's least id then
     whole = labels.unionByName(grouped)
@@ -197,19 +197,24 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(kept, "a bigint, b bigint")
 
 
-def _linked(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, clusters: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (u, v) between members of a cluster (node, component) whose full sets confirm them: a forest of each block pair's.
 
-    A cluster is dealt into blocks of about BLOCK documents; each pair of blocks is one task's, so a cluster of any size is
-    compared by many tasks. A block pair returns the links that join two trees, never all its pairs. Members that are
+    A cluster is dealt into blocks of about BLOCK documents, or BLOCK_SHINGLES shingles where these are fewer documents; each
+    pair of blocks is one task's, so a cluster of any size, and of texts of any length, is compared by many tasks in bounded
+    memory. A block pair returns the links that join two trees, never all its pairs. Members that are
     marked main, where there is such a column, are joined already: their blocks meet those of the others only.
     """
     if "main" not in clusters.columns:
         clusters = clusters.withColumn("main", F.lit(False))
-    blocks = [F.expr(f"cast((count_if({x}) + {BLOCK - 1}) div {BLOCK} as int)").alias(name) for x, name in (("main", "joined"), ("not main", "others"))]
-    sizes = clusters.groupBy("component").agg(*blocks)
+    clusters = clusters.join(sketches.select(F.col("doc_id").alias("node"), "n").dropDuplicates(["node"]).hint("merge"), "node")
+
+    def blocks(test: str, name: str) -> Column:
+        return F.expr(f"cast(greatest((count_if({test}) + {BLOCK - 1}) div {BLOCK}, (sum(if({test}, n, 0)) + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}) as int)").alias(name)
+
+    sizes = clusters.groupBy("component").agg(blocks("main", "joined"), blocks("not main", "others"))
     sizes = sizes.select("component", "joined", "others", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    dealt = clusters.withColumn("s", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(sizes, ["component", "s"])
+    dealt = clusters.withColumn("s", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(sizes.hint("merge"), ["component", "s"])
     h = F.xxhash64("node", F.lit(2))
     own = F.when(F.col("main"), F.pmod(h, F.greatest("joined", F.lit(1)))).otherwise(F.col("joined") + F.pmod(h, F.greatest("others", F.lit(1)))).cast("int")
     # the blocks that a document meets: from `since` on, up to the last
