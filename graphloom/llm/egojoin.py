@@ -219,7 +219,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     keyed = usable.select("vec_id", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
     several = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     several = outcome(several).select("h1", "h2", "n_links", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    copies = keyed.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(several, ["h1", "h2", "s"]).select("vec_id", "n_links", "component_id")
+    copies = keyed.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(several.hint("merge"), ["h1", "h2", "s"]).select("vec_id", "n_links", "component_id")
     none = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = alone.unionByName(copies).unionByName(none)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import io
 import struct
 import uuid
@@ -119,8 +120,6 @@ def read_record(data: bytes) -> dict:
     number = lambda x: int(x[len("<urn:page:") : -1]) if len(x) > len("<urn:page:>") else None
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
     if kind == "response":
-        import hashlib
-
         if len(payload) != n_bytes or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
             raise ValueError(f"record {fields['WARC-Record-ID']} does not match its digest")
     return {
@@ -149,7 +148,7 @@ def decide(pages: DataFrame, least_bytes: int, id_col: str = "page_id", url_col:
     slim = rows.filter(F.col("n_bytes") >= least_bytes).filter("page_id is not null").select("page_id", "sha1")
     keepers = slim.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("other")).filter("keeper <> other").drop("other")
     keepers = keepers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    revisits = slim.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(keepers, ["sha1", "salt"]).filter("page_id <> keeper")
+    revisits = slim.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(keepers.hint("merge"), ["sha1", "salt"]).filter("page_id <> keeper")
     revisits = revisits.select("page_id", "sha1", F.col("keeper").alias("refers_to"))
     return rows.join(revisits, ["page_id", "sha1"], "left")
 
