@@ -1,12 +1,14 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions alone.
 
-A document is a multiset of paragraphs (lines), and a paragraph one of units (clauses; words if it or a clause of it cannot be
-cut into short ones; character grams of what has no spaces), so that a document of one paragraph has several. Each unit is hashed to a wide vector of 0/1 lanes times its length; the fingerprint
-is the sum of the vectors, each lane modulo 2**31, with the sum of the lengths. Sums do not depend on order; adding or taking
-away a paragraph's vector inserts or deletes it. Centred (twice a lane less the sum of lengths), lanes are sums of random
-signs, so the normalised inner product of two fingerprints estimates the cosine of the two multisets: their likeness.
-
-Units become rows and vectors are summed by a hash aggregate, which is compiled code; array lambdas, which are not, would
+A document is a multiset of paragraphs (its lines). Each is hashed to a wide vector: EXACT lanes of 32 bits from the paragraph
+whole, and lanes of 0/1 from each of its words times the word's length, whatever the paragraph's length; a word without spaces for
+more than WORD characters, as in scripts that have none, counts by its overlapping character grams. The fingerprint is the sum of
+the paragraphs' vectors and of their lengths, the exact lanes modulo 2**32, the others modulo 2**31. Sums do not depend on order;
+adding or taking away a paragraph's vector inserts or deletes it. Centred (twice a lane less the sum of lengths), the words' lanes
+are sums of random signs, so the normalised inner product of two fingerprints estimates the cosine of the two multisets of
+words: their likeness.
+
+Words become rows and vectors are summed by a hash aggregate, which is compiled code; array lambdas, which are not, would
 take some ten times as long for it. The rows of a document stay in the task that has its text: no shuffle follows the
 one that brings neighbours together.
 """
@@ -16,57 +18,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: 64-bit words of a fingerprint; each holds two lanes of LANE_BITS bits, 32 bits apart.
-WORDS, LANE_BITS = 48, 31
-ONES, MASK = 1 | 1 << 32, (1 << 31) - 1 | ((1 << 31) - 1) << 32
-CLAUSE_END, WORD_END = r"(?<=[.,;:!?。，、；：！？．｡､…])", r"(?<= )"
-#: Paragraphs under SHORT characters and clauses over CLAUSE are taken by word, words over WORD by grams: no unit is longer.
-SHORT, CLAUSE, WORD = 120, 60, 24
+from .common import stored
+
+#: Sums of 32 bits over whole paragraphs; 64-bit words of the rest, each with two lanes of LANE_BITS bits, 32 bits apart.
+EXACT, WORDS, LANE_BITS = 4, 48, 31
+ONES = 1 | 1 << 32
+#: Characters of a word beyond which it counts by grams.
+WORD = 24
+#: Where words and paragraphs end: a word keeps the space after it.
+WORD_END = r"(?<= )|\n"
 #: Each character with the three after it, in one pass.
 GRAM = r"(?s)(?=(.{4}))."
-#: Ids per bucket and buckets per group, as powers of two, where neighbours by id are sought.
-BUCKET_BITS, GROUP_BITS = 8, 10
+#: Ids per bucket, as a power of two, where neighbours by id are sought.
+BUCKET_BITS = 8
 
 
 def units(text: Column) -> Column:
-    """The paragraphs' units: words of a short paragraph or a long clause, clauses of any other; grams of what has no spaces."""
-
-    def clauses(p: Column) -> Column:
-        return F.when(F.length(p) < SHORT, F.split(p, WORD_END, -1)).otherwise(F.split(p, CLAUSE_END, -1))
-
-    def words(c: Column) -> Column:
-        return F.when(F.length(c) > CLAUSE, F.split(c, WORD_END, -1)).otherwise(F.array(c))
+    """The words of all paragraphs; of a longer word, its grams. White space besides the space and the line end is part of a word."""
+    words = F.split(text, WORD_END, -1)
 
     def grams(w: Column) -> Column:
-        one = F.instr(F.rtrim(F.ltrim(w)), " ") == 0
-        return F.when((F.length(w) > WORD) & one, F.regexp_extract_all(w, F.lit(GRAM), F.lit(1))).otherwise(F.array(w))
+        return F.when(F.length(F.rtrim(w)) > WORD, F.regexp_extract_all(w, F.lit(GRAM), F.lit(1))).otherwise(F.array(w))
 
-    out = F.split(text, "\n", -1)
-    for cut in (clauses, words, grams):
-        out = F.flatten(F.transform(out, cut))
+    out = F.when(text.rlike(rf"[^ \n]{{{WORD + 1},}}"), F.flatten(F.transform(words, grams))).otherwise(words)
     return F.filter(out, lambda u: u != "")
 
 
+def paragraph_sum(text: Column, lane: int) -> Column:
+    """Sum of the paragraphs' hashes, modulo 2**32. Empty lines are no paragraphs."""
+    paragraphs = F.filter(F.split(text, "\n", -1), lambda p: p != "")
+    return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda s, p: (s + F.shiftrightunsigned(F.xxhash64(p, F.lit(f"exact {lane}")), 32)).bitwiseAND(F.lit((1 << 32) - 1)))
+
+
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str, to: str = "fp") -> DataFrame:
-    """keys and the fingerprint of text_col (array<bigint>: weight, then WORDS words) for each row; keys must be unique.
+    """keys and the fingerprint of text_col for each row; keys must be unique.
 
-    An empty text has the fingerprint of zeros. If rows are partitioned by some of the keys, nothing is shuffled.
+    array<bigint>: weight, EXACT sums over whole paragraphs, WORDS words of two lanes. An empty or null text has the fingerprint
+    of zeros. Texts of any length are whole. If rows are partitioned by some of the keys, nothing is shuffled.
     """
-    each = rows.select(*keys, F.explode_outer(units(F.col(text_col))).alias("_u"))
-    each = each.select(*keys, *(F.xxhash64("_u", F.lit(i)).alias(f"_h{i}") for i in range(-(-WORDS // 32))), F.coalesce(F.length("_u"), F.lit(0)).cast("long").alias("_w"))
+    whole = rows.select(*keys, *(paragraph_sum(F.col(text_col), i).alias(f"_p{i}") for i in range(EXACT)), units(F.col(text_col)).alias("_us"))
+    each = whole.select(*keys, *(f"_p{i}" for i in range(EXACT)), F.explode_outer("_us").alias("_u"))
+    each = each.select(*keys, *(f"_p{i}" for i in range(EXACT)), *(F.xxhash64("_u", F.lit(i)).alias(f"_h{i}") for i in range(-(-WORDS // 32))), F.coalesce(F.length("_u"), F.lit(0)).cast("long").alias("_w"))
     lanes = [F.sum(F.shiftright(F.col(f"_h{j // 32}"), j % 32).bitwiseAND(F.lit(ONES)) * F.col("_w")).alias(f"_{j}") for j in range(WORDS)]
-    summed = each.groupBy(*keys).agg(F.sum("_w").alias("_n"), *lanes)
-    return summed.select(*keys, F.array("_n", *(f"_{j}" for j in range(WORDS))).alias(to))
+    summed = each.groupBy(*keys).agg(F.sum("_w").alias("_n"), *(F.coalesce(F.max(f"_p{i}"), F.lit(0)).alias(f"_p{i}") for i in range(EXACT)), *lanes)
+    # lanes are reduced once they are summed: a text of under 2**31 characters carries nothing from one lane into the next
+    return summed.select(*keys, F.array("_n", *(f"_p{i}" for i in range(EXACT)), *(_joined(F.col(f"_{j}"), _high(F.col(f"_{j}"))) for j in range(WORDS))).alias(to))
 
 
 def add(a: Column, b: Column) -> Column:
-    """The fingerprint of both multisets together (insertion)."""
-    return F.zip_with(a, b, lambda x, y: _joined(_low(x) + _low(y), _high(x) + _high(y)))
+    """The fingerprint of both multisets of paragraphs together (insertion)."""
+    return _combined(a, b, 1)
 
 
 def subtract(a: Column, b: Column) -> Column:
-    """a's fingerprint without b's units (deletion)."""
-    return F.zip_with(a, b, lambda x, y: _joined(_low(x) - _low(y), _high(x) - _high(y)))
+    """a's fingerprint without b's paragraphs (deletion)."""
+    return _combined(a, b, -1)
+
+
+def _combined(a: Column, b: Column, sign: int) -> Column:
+    exact = F.zip_with(F.slice(a, 2, EXACT), F.slice(b, 2, EXACT), lambda x, y: (x + sign * y).bitwiseAND(F.lit((1 << 32) - 1)))
+    lanes = F.zip_with(F.slice(a, 2 + EXACT, WORDS), F.slice(b, 2 + EXACT, WORDS), lambda x, y: _joined(_low(x) + sign * _low(y), _high(x) + sign * _high(y)))
+    return F.concat(F.array(a[0] + sign * b[0]), exact, lanes)
 
 
 def _low(w: Column) -> Column:
@@ -82,7 +94,7 @@ def _joined(low: Column, high: Column) -> Column:
 
 
 def as_text(fp: Column) -> Column:
-    """Sixteen hexadecimal digits for the weight and for each word."""
+    """Sixteen hexadecimal digits for the weight, each exact sum and each word."""
     return F.array_join(F.transform(fp, lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
 
 
@@ -93,7 +105,7 @@ def signed_lanes(fp: Column) -> Column:
         x = F.pmod(2 * lane - fp[0], F.lit(1 << LANE_BITS))
         return F.when(x >= 1 << (LANE_BITS - 1), x - (1 << LANE_BITS)).otherwise(x).cast("double")
 
-    return F.flatten(F.transform(F.slice(fp, 2, WORDS), lambda w: F.array(centred(_low(w)), centred(_high(w)))))
+    return F.flatten(F.transform(F.slice(fp, 2 + EXACT, WORDS), lambda w: F.array(centred(_low(w)), centred(_high(w)))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -112,16 +124,18 @@ def likeness(a: Column, b: Column, ab: Column, aa: Column, bb: Column) -> Column
 def with_next(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text) with _b, _r, next_text and next_head: text of the next document by descending doc_id; after the last, the first.
 
-    Ties go by text, descending. Null ids come last. Neighbours are sought in buckets of ids; a bucket's last row gets
-    the first of the next bucket that has rows (then next_head is true), found over bucket numbers only: no window
-    sees more than a bucket, a group of buckets, or one row per group. _b and _r number the rows.
+    Ties go by a hash of the text, then the text, descending. Null ids come last. Neighbours are sought in buckets of ids, of null
+    ids in buckets of text hashes; a bucket's last row gets the first of the next bucket that has rows (then next_head is true),
+    found over bucket numbers only, in ranges: no window sees more than a bucket, a range of bucket numbers, or one row per
+    range, however sparse ids are. _b and _r number the rows.
     """
-    rows = rows.withColumn("_b", F.shiftright(F.coalesce(F.col("doc_id"), F.lit(-(2**62))), BUCKET_BITS))
-    here = Window.partitionBy("_b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    h = F.xxhash64("text")
+    rows = rows.withColumn("_b", F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.shiftright(h, 40) - F.lit(2**62)))
+    here = Window.partitionBy("_b").orderBy(F.col("doc_id").desc_nulls_last(), h.desc(), F.col("text").desc())
     heads = rows.withColumn("_r", F.row_number().over(here)).filter("_r = 1").select(F.col("_b").alias("_next"), F.col("text").alias("_head"))
-    buckets = rows.select("_b").distinct().withColumn("_g", F.shiftright("_b", GROUP_BITS))
+    buckets = stored(rows.select("_b").distinct().repartitionByRange("_b").withColumn("_g", F.spark_partition_id()))
     tops = buckets.groupBy("_g").agg(F.max("_b").alias("_top"))
-    every = Window.partitionBy(F.lit(0))
+    every = Window.partitionBy(F.lit(0))  # as many rows as there are ranges
     tops = tops.select("_g", F.coalesce(F.lead("_top").over(every.orderBy(F.col("_g").desc())), F.max("_top").over(every)).alias("_lower"))
     links = buckets.withColumn("_in", F.lead("_b").over(Window.partitionBy("_g").orderBy(F.col("_b").desc()))).join(tops, "_g")
     links = links.select("_b", F.coalesce("_in", "_lower").alias("_next")).join(heads, "_next").drop("_next")
@@ -133,7 +147,9 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next.
 
     The edited text is the text whose last third (floor, in code points) is the beginning of the next document's text.
-    Null text: empty. A text of under three characters is not changed by the edit. Repeated rows are each other's neighbours.
+    Null text: empty. A text of under three characters is not changed by the edit. Repeated rows, and rows of one id, are each
+    other's neighbours. Null ids come last. Only the two named columns are read. Texts of any length are whole. A single document
+    is its own next one. An empty table gives no rows.
     """
     rows = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     third = F.expr("cast(length(text) div 3 as int)")
