@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, egojoin, fingerprint, langid, minhash, packing, sharding, suffixes, warc
+from . import bytebpe, chat, egojoin, fingerprint, langid, minhash, oracle, packing, sharding, suffixes, warc
 
 WINDOW = 4096
 SHARDS = 24
@@ -72,7 +72,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(oracle.ORACLE)
 
-
-ORACLE: dict[str, str] = {}
