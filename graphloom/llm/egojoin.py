@@ -15,6 +15,7 @@ and a forest of their links, not the pairs.
 from __future__ import annotations
 
 import io
+import os
 import uuid
 from collections.abc import Iterator
 from itertools import product
@@ -64,9 +65,9 @@ class Forest:
 class Tile:
     """Unit vectors in grid order, their rows' ids and numbers, and the blocks' bounds and boxes."""
 
-    def __init__(self, name: int, data: bytes, axes: np.ndarray) -> None:
+    def __init__(self, name: str, data: bytes, axes: np.ndarray) -> None:
         with np.load(io.BytesIO(data)) as z:
-            self.name, self.reps, self.ms, self.ends = name, z["reps"], z["ms"], z["ends"]
+            self.name, self.reps, self.ms, self.ends, self.keys = name, z["reps"], z["ms"], z["ends"], z["keys"]
             self.v = _unit(z["v"].astype(np.float64))
         self.p, self.v4 = self.v @ axes, self.v.astype(np.float32)
         spans = list(zip([0, *self.ends[:-1]], self.ends, strict=True))
@@ -108,7 +109,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
     n_links: other rows whose cosine, in double precision, reaches threshold (0 < threshold <= 1). Vectors that are null, empty, zero
     or hold a null or a non-finite component link with nothing, and so do vectors of unlike dimensions with each other.
-    Rows with one id are one node of the components, but count as rows. Null ids are kept and link with nothing.
+    Rows with one id are one node of the components, whatever their vectors, but count as rows. Null ids are kept and link with
+    nothing. Only the two named columns are read. Vectors of any length, ties and repeated rows are whole. An empty table gives no rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a threshold over 0 and up to 1 is needed")
@@ -119,7 +121,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     v = F.col("v")
     good = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     usable = rows.filter(good).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))  # -0 is 0
-    classes = usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
+    classes = usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).withColumns(_keys())
     sample = usable.select("v", F.xxhash64("vec_id").alias("h"), "vec_id", F.size("v").alias("d")).orderBy("h", "vec_id").limit(SAMPLE).collect()
     axes = {d: principal(_unit(np.array([r["v"] for r in sample if r["d"] == d]))) for d in {r["d"] for r in sample}}
     sent = spark.sparkContext.broadcast(axes)
@@ -145,12 +147,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 kept = [y.tobytes() for y in (small if (small == x).all() else x)]
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(take), batch.column(2).take(take), pa.array(np.full(len(at), d), pa.int32()), *(pa.array(cells[:, i], pa.int64()) for i in range(KEYED)), pa.array(list(cells[:, KEYED:]), pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                    ["rep", "m", "d", "c0", "c1", "c2", "cells", "v"],
+                    [*(batch.column(i).take(take) for i in range(1, 5)), pa.array(np.full(len(at), d), pa.int32()), *(pa.array(cells[:, i], pa.int64()) for i in range(KEYED)), pa.array(list(cells[:, KEYED:]), pa.list_(pa.int64())), pa.array(kept, pa.binary())],
+                    ["rep", "m", "h1", "h2", "d", "c0", "c1", "c2", "cells", "v"],
                 )
 
     cell = ["d", "c0", "c1", "c2"]
-    ordered = classes.mapInArrow(project, "rep bigint, m bigint, d int, c0 bigint, c1 bigint, c2 bigint, cells array<bigint>, v binary")
+    ordered = classes.mapInArrow(project, "rep bigint, m bigint, h1 bigint, h2 bigint, d int, c0 bigint, c1 bigint, c2 bigint, cells array<bigint>, v binary")
     # tiles follow the grid order; a hot cell is split by its finer cells, then by id
     ordered = ordered.repartitionByRange(*cell, "cells", F.xxhash64("rep")).sortWithinPartitions(*cell, "cells", F.xxhash64("rep"))
 
@@ -165,12 +167,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
             v = np.stack([np.frombuffer(r["v"], np.float32 if len(r["v"]) == 4 * d else np.float64).astype(np.float64) for r in held])
             if all(len(r["v"]) == 4 * d for r in held):
                 v = v.astype(np.float32)
-            reps, ms = [r["rep"] for r in held], [r["m"] for r in held]
-            np.savez(out, v=v, reps=np.array(reps, np.int64), ms=np.array(ms, np.int64), ends=np.array([*ends, len(held)], np.int64))
+            reps, ms, h1s, h2s = ([r[x] for r in held] for x in ("rep", "m", "h1", "h2"))
+            np.savez(out, v=v, reps=np.array(reps, np.int64), ms=np.array(ms, np.int64), keys=np.array([h1s, h2s], np.int64), ends=np.array([*ends, len(held)], np.int64))
             with files.open_output_stream(path) as f:
                 f.write(out.getvalue())
             seen = sorted({(r["c0"], r["c1"], r["c2"]) for r in held})
-            rows = {"tile": reps[0], "path": path, "d": d, "cells": [dict(zip(("c0", "c1", "c2"), c, strict=True)) for c in seen], "reps": reps, "ms": ms}
+            rows = {"tile": os.path.basename(path), "path": path, "d": d, "cells": [dict(zip(("c0", "c1", "c2"), c, strict=True)) for c in seen], "reps": reps, "ms": ms, "h1s": h1s, "h2s": h2s}
             return pa.RecordBatch.from_pylist([rows], TILES)
 
         for batch in batches:
@@ -184,7 +186,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
         if held:
             yield tile()
 
-    tiles = stored(ordered.mapInArrow(cut, "tile bigint, path string, d int, cells array<struct<c0: bigint, c1: bigint, c2: bigint>>, reps array<bigint>, ms array<bigint>"))
+    tiles = stored(ordered.mapInArrow(cut, "tile string, path string, d int, cells array<struct<c0: bigint, c1: bigint, c2: bigint>>, reps array<bigint>, ms array<bigint>, h1s array<bigint>, h2s array<bigint>"))
     names = tiles.select("tile", "path")
     cells = tiles.select("tile", "d", F.explode("cells").alias("c")).select("tile", "d", "c.*")
     around = F.array(*(F.struct(*(F.lit(x).alias(f"o{i}") for i, x in enumerate(o))) for o in product((-1, 0, 1), repeat=KEYED)))
@@ -196,7 +198,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = fs.FileSystem.from_uri(folder)
 
-        def load(name: int, path: str, d: int) -> Tile:
+        def load(name: str, path: str, d: int) -> Tile:
             with files.open_input_file(path) as f:
                 return Tile(name, f.read(), axes_of(d))
 
@@ -209,27 +211,36 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 if out is not None:
                     yield out
 
-    links = stored(pairs.select("a", "a_path", "b", "b_path", "d").mapInArrow(joined, "u bigint, v bigint, n bigint"))
-    counts = links.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    labels = components(links.filter("v is not null").select("u", "v"))
-    slim = tiles.select(F.explode(F.arrays_zip("reps", "ms")).alias("x")).select(F.col("x.reps").alias("rep"), F.col("x.ms").alias("m"))
-    outcome = lambda x: x.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumns({"n_links": F.coalesce("n", F.lit(0)) + F.col("m") - 1, "component_id": F.coalesce("component", "rep")})
-    alone = outcome(slim.filter("m = 1")).select(F.col("rep").alias("vec_id"), "n_links", "component_id")
+    links = stored(pairs.select("a", "a_path", "b", "b_path", "d").mapInArrow(joined, LINKS))
+    counts = links.filter("v is null").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    keyed = usable.select("vec_id", *(x.alias(name) for name, x in _keys().items()))
+    slim = tiles.select(F.explode(F.arrays_zip("reps", "ms", "h1s", "h2s")).alias("x")).select(F.col("x.reps").alias("rep"), F.col("x.ms").alias("m"), F.col("x.h1s").alias("h1"), F.col("x.h2s").alias("h2"))
+    # an id with several vectors is one node: it joins the classes that these are in
+    several = keyed.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("vec_id")
+    bridges = keyed.join(several, "vec_id").join(slim.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
+    labels = stored(components(links.filter("v is not null").select("u", "v").unionByName(bridges)))
+    found = slim.join(counts, ["h1", "h2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    found = found.select("h1", "h2", "m", "rep", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    alone = found.filter("m = 1").select(F.col("rep").alias("vec_id"), "n_links", "component_id")
     # copies find their class by two 64-bit hashes of the vector, so that vectors are not shuffled again; hot classes are salted
-    keyed = usable.select("vec_id", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"))
-    several = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    several = outcome(several).select("h1", "h2", "n_links", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    copies = keyed.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(several.hint("merge"), ["h1", "h2", "s"]).select("vec_id", "n_links", "component_id")
+    classed = found.filter("m > 1").select("h1", "h2", "n_links", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    copies = keyed.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int")).join(classed.hint("merge"), ["h1", "h2", "s"]).select("vec_id", "n_links", "component_id")
     none = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = alone.unionByName(copies).unionByName(none)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-TILES = pa.schema([("tile", pa.int64()), ("path", pa.string()), ("d", pa.int32()), ("cells", pa.list_(pa.struct([("c0", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())]))), ("reps", pa.list_(pa.int64())), ("ms", pa.list_(pa.int64()))])
+def _keys() -> dict:
+    """What names a class of equal vectors: two 64-bit hashes of column v."""
+    return {f"h{i}": F.xxhash64(F.lit(i), "v") for i in (1, 2)}
+
+
+LINKS = "u bigint, v bigint, n bigint, h1 bigint, h2 bigint"
+TILES = pa.schema([("tile", pa.string()), ("path", pa.string()), ("d", pa.int32()), ("cells", pa.list_(pa.struct([("c0", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())]))), *((x, pa.list_(pa.int64())) for x in ("reps", "ms", "h1s", "h2s"))])
 
 
 def _linked(a: Tile, b: Tile, epsilon: float, threshold: float) -> pa.RecordBatch | None:
-    """Rows (rep, null, links counted as rows) and (rep, rep, null) of two tiles."""
+    """LINKS of two tiles: (rep, null, links counted as rows, key of the class) and (rep, rep)."""
     same = a.name == b.name
     n, m = np.zeros(len(a.reps), np.int64), np.zeros(len(b.reps), np.int64)
     shift = 0 if same else len(a.reps)
@@ -251,5 +262,6 @@ def _linked(a: Tile, b: Tile, epsilon: float, threshold: float) -> pa.RecordBatc
         return None
     u = [*reps[at].tolist(), *(int(reps[x]) for x, _ in forest.links)]
     v = [*[None] * len(at), *(int(reps[y]) for _, y in forest.links)]
-    c = [*counts[at].tolist(), *[None] * len(forest.links)]
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(c, pa.int64())], ["u", "v", "n"])
+    keys = a.keys if same else np.concatenate([a.keys, b.keys], axis=1)
+    counted = [[*x[at].tolist(), *[None] * len(forest.links)] for x in (counts, *keys)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, *counted)], ["u", "v", "n", "h1", "h2"])
