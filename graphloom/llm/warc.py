@@ -12,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
@@ -42,12 +43,12 @@ def record(page_id: int | None, url: str, digest: str, kind: str, refers_to: int
 
 
 def package(records: list[tuple[int | None, bytes]]) -> bytes:
-    """A ZIP of the records, in order, and their index: page_id, offset, length (as stored) a line."""
+    """A ZIP of the records, in order, and their index: page_id, offset, length (as stored) and archive a line."""
     at, lines, members = 0, [], []
     for page_id, plain in records:
         r = gzip.compress(plain, LEVEL, mtime=0)
         members.append(r)
-        lines.append(f"{'' if page_id is None else page_id} {at} {len(r)}\n")
+        lines.append(f"{'' if page_id is None else page_id} {at} {len(r)} {ARCHIVE.removeprefix('archive/')}\n")
         at += len(r)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
@@ -128,12 +129,27 @@ def read_record(data: bytes) -> dict:
     }
 
 
+def index_entry(line: str) -> tuple[str, int, int]:
+    """(archive, offset, length) of an index line: this module's own, or CDXJ (key, time, JSON)."""
+    if "{" in line:
+        fields = json.loads(line[line.index("{") :])
+        return fields["filename"], int(fields["offset"]), int(fields["length"])
+    _, at, n, archive = line.split(" ")
+    return archive, int(at), int(n)
+
+
 def records_of(f, size: int) -> Iterator[dict]:  # noqa: ANN001
+    """The records of all archives of a package that its indexes list, in their order."""
     names = directory(f, size)
-    archive, index = member_at(f, next(e for name, e in names.items() if name.startswith("archive/"))), member_at(f, names[INDEX])
-    for line in read_range(f, index, names[INDEX][1]).decode().splitlines():
-        _, at, n = line.split(" ")
-        yield read_record(read_range(f, archive + int(at), int(n)))
+    archives = {name.removeprefix("archive/"): member_at(f, e) for name, e in names.items() if name.startswith("archive/") and name != "archive/"}
+    for name, entry in names.items():
+        if not name.startswith("indexes/") or name == "indexes/" or entry[1] == 0:
+            continue
+        data = read_range(f, member_at(f, entry), entry[1])
+        for line in (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode().splitlines():
+            if line and not line.startswith("!meta"):
+                archive, at, n = index_entry(line)
+                yield read_record(read_range(f, archives[archive] + at, n))
 
 
 def decide(pages: DataFrame, least_bytes: int, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -211,7 +227,12 @@ def read(packages: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages written into the shared folder as packages and read back."""
+    """pages written into the shared folder as packages and read back: a row a page, repeated rows included.
+
+    Null html: an empty payload; null url: an empty one; null ids are responses. Payloads of any length are whole: one record
+    is held in memory at a time, and a package of about PACKAGE_BYTES. Only the three named columns are read. An empty table
+    gives no rows.
+    """
     folder = f"{shared_dir(pages.sparkSession)}/graphloom-{uuid.uuid4().hex}"
     _kept.append((pages.sparkSession, folder))
     return read(write(pages, folder, least_bytes), folder)
