@@ -80,7 +80,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """n_tokens and digests of the ids and of the decoded bytes, for every row.
 
     Null text: encoded as the empty one (no tokens, digests of nothing). Repeated rows give repeated results. Texts of
-    any length are whole: those over chunk characters are spread over tasks by chunk, twice (to split, to encode).
+    any length are whole: those over chunk characters are spread over tasks by chunk, twice (to split, to encode); a shorter
+    text is one chunk without neighbours, for which there is nothing to stitch. Null ids pass through. Only the two named
+    columns are read. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -94,10 +96,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     short = docs.filter(F.length("text") <= chunk).mapInArrow(whole, OUT)
 
     keyed = docs.filter(F.length("text") > chunk).select(
-        F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256).alias("key"), "doc_id", "text", F.length("text").alias("n")
+        F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256).alias("key"), "doc_id", "text"
     )
-    parts = keyed.select("key", "doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {chunk} as int)"))).alias("i"), "text")
-    parts = parts.select("key", "doc_id", "i", (F.col("i") == F.expr(f"cast((n - 1) div {chunk} as int)")).alias("last"), F.expr(f"substring(text, i * {chunk} + 1, {chunk + overlap})").alias("part"))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                count = -(-len(text) // chunk)
+                for first in range(0, count, 64):
+                    at = range(first, min(first + 64, count))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(at), pa.string()), pa.array([doc_id] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([i == count - 1 for i in at], pa.bool_()), pa.array([text[i * chunk : (i + 1) * chunk + overlap] for i in at], pa.string())],
+                        ["key", "doc_id", "i", "last", "part"],
+                    )
+
+    parts = keyed.select("key", "doc_id", "text").mapInArrow(chunks, "key string, doc_id bigint, i int, last boolean, part string")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks_path, pattern)

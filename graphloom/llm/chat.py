@@ -62,7 +62,8 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Turns are ordered by turn, then role and text (so ties and repeated rows have a fixed order). Null text or role: empty.
     Null turn: first. Null conv_id: a conversation of its own. An empty table gives no rows.
-    A conversation is one row of the result; only its own turns meet in a task.
+    A conversation is one row of the result; only its own turns meet in a task. Texts of any length are whole. Only the four
+    named columns are read, so others may have any name.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")

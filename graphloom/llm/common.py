@@ -20,9 +20,12 @@ _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, one of our own (single-machine sessions only)."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of our own, but only if driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -84,11 +87,6 @@ def buckets_for(n_rows: int) -> int:
     return max(1, -(-n_rows // ROWS_PER_BUCKET))
 
 
-def bucket_of(hash64: Column, n: int) -> Column:
-    """Order-preserving bucket 0..n-1 of a 64-bit hash: buckets follow the hash, taken as unsigned."""
-    return F.shiftright(F.shiftrightunsigned(hash64, 33) * F.lit(n).cast("long"), 31)
-
-
 def exact_rank(df: DataFrame, part: list[str], bucket: str, order: list[Column], name: str, total: str | None = None) -> DataFrame:
     """df with its 0-based rank within part, ordered by (bucket, *order), as column name; total: rows of the part.
 

@@ -235,7 +235,8 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", lang_to
     """docs with lang_to and score_to, from the text alone.
 
     Null or letterless text, or no model (nothing to learn from): `und`, 0. Texts of any length are used whole. Rows are
-    independent: repeated rows get equal results; other columns pass through.
+    independent: repeated rows get equal results; other columns pass through, but one that is named as lang_to or score_to is
+    replaced. Null ids do not matter. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)

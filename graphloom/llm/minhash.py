@@ -85,7 +85,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Links: 100 * intersection >= percent * union of the sets of k-word shingles (A-Z lower-cased). Null and wordless texts
     have empty sets and link with nothing. Rows with one id are one node; each is returned, kept if the id is its component's.
-    Null ids are kept and link with nothing. An empty table gives no rows.
+    Null ids are kept and link with nothing. Texts of any length are whole; there are no ties, since a component's least id is kept.
+    Only the two named columns are read. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -22,7 +22,11 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: documents tokenised, closed by end_id, cut into full windows and a rest (null text: empty)."""
+    """One row per piece: documents tokenised, closed by end_id, cut into full windows and a rest (null text: empty).
+
+    Null ids and repeated rows give pieces of their own. Texts of any length are whole. Only the two named columns are read. An
+    empty table gives no rows.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
