@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"[\s\x1c-\x1f]+"
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def trim_ws(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, rf"(?Ud)^{SPACES}|{SPACES}\z", "")
+    return F.btrim(x, F.lit(WHITE))
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x worked out once, however often body names it."""
+    return F.transform(F.array(x), body)[0]
 
 
 def squeeze_blanks(x: Column) -> Column:
@@ -29,10 +37,15 @@ def normalize(x: Column, squeeze_newlines: bool = True) -> Column:
 
 def shorten(x: Column, n: int) -> Column:
     """White space joined to single blanks, cut after n characters with three dots."""
-    x = trim_ws(F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?U){SPACES}", " "))
+    x = joined_line(x)
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("..."))).otherwise(x)
 
 
+def joined_line(x: Column) -> Column:
+    """White space of any kind joined to single blanks, trimmed."""
+    return trim_ws(F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?U){SPACES}", " "))
+
+
 def nonblank(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 

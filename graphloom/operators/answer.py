@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, count_hits, label
-from .ask import confidence, level
+from .ask import confidence, holding, level
 
 # Names, hints and sentences that answers are made of.
 OPEN_INTENTS = ["作用用途", "定义说明", "综合查询"]
@@ -127,8 +127,9 @@ def retrieve(asked: DataFrame, edges: DataFrame, forward: int = 120, reverse: in
     turned = e.filter(F.col("relation") == "OCCURS_ON").select(F.col("dst").alias("src"), F.col("dst_type").alias("src_type"), "relation", F.col("src").alias("dst"), F.col("src_type").alias("dst_type"), "file_name", "page", "source_sentence", "ord")
     by = Window.partitionBy("src").orderBy("ord", "relation", "dst", "source_sentence")
     back = F.col("intent") == REVERSE_INTENT
-    # a node's rows are limited before questions meet them: a hot node costs each question no more than the limit
-    first = lambda rows, n: rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= n).drop("_n")
+    # only asked nodes' rows are ranked, and limited before questions meet them: a hot node costs each question no more than the limit
+    names = asked.select(F.col("entity").alias("src")).distinct()
+    first = lambda rows, n: rows.join(names, "src", "left_semi").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= n).drop("_n")
     found = [asked.filter(test).join(rows, F.col("entity") == F.col("src")) for test, rows in ((~back, first(e, forward)), (back, first(turned, reverse)))]
     return found[0].unionByName(found[1])
 
@@ -153,7 +154,7 @@ def evidence(targets: DataFrame, edges: DataFrame, n: int = 8) -> DataFrame:
     said = edges.filter(F.col("source_sentence") != "").groupBy("file_name", "page", "source_sentence").agg(F.min("ord").alias("ord"))
     # sentences meet distinct (entity, targets) only: questions that ask the same cost no more pairs
     wanted = targets.select("entity", "targets").distinct()
-    hits = said.join(wanted, F.col("source_sentence").contains(F.col("entity")) & F.exists("targets", lambda t: (t != "") & F.col("source_sentence").contains(t)))
+    hits = holding(said, "source_sentence", wanted, "entity").filter(F.exists("targets", lambda t: (t != "") & F.col("source_sentence").contains(t)))
     by = Window.partitionBy("entity", "targets").orderBy("ord", "file_name", "page", "source_sentence")
     kept = hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
     return targets.join(kept, ["entity", "targets"]).select("question_id", "rank", "file_name", "page", "source_sentence")

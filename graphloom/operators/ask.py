@@ -35,13 +35,36 @@ def specificity(name: Column, kind: Column, question: Column, preferred: list[st
     )
 
 
+def holding(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows of texts with each row of names whose name their text contains; empty names are in none.
+
+    Texts are cut into their parts of the names' lengths, which meet the names by equality, so that it is a hash or merge join, not a
+    loop over all pairs. What is made known to all tasks is the list of lengths, bounded by the longest name.
+    """
+    sizes = names.select(F.length(name).alias("_k")).filter("_k > 0").distinct().agg(F.collect_list("_k").alias("_ks"))
+    parts = F.flatten(F.transform("_ks", lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, k))))
+    cut = texts.crossJoin(F.broadcast(sizes)).withColumn("_part", F.explode(F.array_distinct(parts))).drop("_ks")
+    return cut.join(names, F.col("_part") == F.col(name)).drop("_part")
+
+
 def match_entities(questions: DataFrame, nodes: DataFrame, score: Column) -> DataFrame:
-    """The best node for each question (question_id, question, guess): the guess itself, then containment in the question, then in the guess."""
-    q, g, n = F.col("question"), F.col("guess"), F.col("name")
-    prio = F.when(n == g, 0).when(q.contains(n) | n.contains(q), 1).when(g.contains(n) | n.contains(g), 2)
-    found = questions.join(nodes, (n == g) | q.contains(n) | n.contains(q) | g.contains(n) | n.contains(g)).withColumn("prio", prio).withColumn("score", score)
-    best = Window.partitionBy("question_id").orderBy("prio", F.col("score").desc(), F.length("name").desc(), "name", "type")
-    return found.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    """The best node for each question (question_id, question, guess): the guess itself, then containment in the question, then in the guess.
+
+    Containment counts either way round. An empty guess is in all names: then the best node for no question in particular is taken.
+    """
+    nodes = nodes.filter("name <> ''")
+    asked = questions.select("question_id", "question", "guess")
+    found = [asked.join(nodes, F.col("guess") == F.col("name")).withColumn("prio", F.lit(0))]
+    for prio, side in ((1, "question"), (2, "guess")):
+        found += [x.withColumn("prio", F.lit(prio)) for x in (holding(asked, side, nodes, "name"), holding(nodes, "name", asked, side))]
+    top = nodes.withColumn("question", F.lit("")).withColumn("score", score).orderBy(F.col("score").desc(), F.length("name").desc(), "name", "type").limit(1).select("name", "type")
+    found.append(asked.filter("guess = ''").crossJoin(F.broadcast(top)).withColumn("prio", F.lit(2)))
+    rows = found[0].select("question_id", "question", "guess", "name", "type", "prio")
+    for x in found[1:]:
+        rows = rows.unionByName(x.select(*rows.columns))
+    by = Window.partitionBy("question_id").orderBy("prio", F.col("score").desc(), F.length("name").desc(), "name", "type")
+    rows = rows.withColumn("score", score)
+    return rows.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n").join(questions.drop("question", "guess"), "question_id")
 
 
 def threshold_or_first(rows: DataFrame, key: str, score: str, order: list[Column], least: int = 3, first: int = 10) -> DataFrame:
@@ -65,9 +88,8 @@ def top_targets(rows: DataFrame, key: str, target: str, rank: str, n: int = 5) -
 
 def evidence(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Relation rows whose sentence holds the asked entity and any of its targets (entity, targets: array)."""
-    sentence = F.col("source_sentence")
-    hit = sentence.contains(F.col("entity")) & F.exists("targets", lambda t: sentence.contains(t))
-    return rows.join(asked, hit)
+    found = holding(rows, "source_sentence", asked, "entity")
+    return found.filter(F.exists("targets", lambda t: F.col("source_sentence").contains(t)))
 
 
 def confidence(graph_hits: Column, evidences: Column, files: Column, has_pages: Column, preferred_hit: Column) -> Column:

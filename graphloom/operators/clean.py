@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, squeeze_blanks, trim_ws, unify_newlines
+from ..functions.text import let, normalize, squeeze_blanks, trim_ws, unify_newlines
 
 # Patterns that decide what counts as noise, title or contents line.
 DOT_RUN, DASH_RUN = r"[\.．·•…。]{4,}", r"[_—\-]{4,}"
@@ -23,6 +23,7 @@ TITLE_LINES = [
 TOC_LINES = [r"^.*\.{2,}\s*\d+\s*$", r"^.*…{2,}\s*\d+\s*$"]
 LOW_VALUE = ["责任编辑", "印刷", "定价", "统一书号", "版权所有", "侵权必究"]
 ABNORMAL = r"[\\|~`�□○¤§¦¬¢£¥]"
+NOISE_RUNS = [DOT_RUN, DASH_RUN, r"[/\\]{3,}", r"[|]{3,}"]
 
 
 def lines_of(x: Column, keep_blank: bool = False) -> Column:
@@ -37,13 +38,18 @@ def _any(line: Column, patterns: list[str], flags: str = "(?Ud)") -> Column:
 def clean_page(x: Column) -> Column:
     """Native text: leaders, rules and page-number lines go; blanks, lines and empty lines are tidied."""
     x = F.replace(unify_newlines(F.coalesce(x, F.lit(""))), F.lit("　"), F.lit(" "))
-    x = F.regexp_replace(F.regexp_replace(x, DOT_RUN, " "), DASH_RUN, " ")
-    for p in PAGE_NUMBER_LINES:
-        x = F.regexp_replace(x, "(?mUd)" + p, "")
+    x = let(F.regexp_replace(F.regexp_replace(x, DOT_RUN, " "), DASH_RUN, " "), _without_page_numbers)
     x = F.array_join(lines_of(squeeze_blanks(x), keep_blank=True), "\n")
     return trim_ws(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
+def _without_page_numbers(x: Column) -> Column:
+    """A line that only a number and dashes stand on is sought first, quickly; most texts have none."""
+    numbers, pages = ("(?mUd)" + p for p in PAGE_NUMBER_LINES)
+    bare = x.rlike(r"(?mUd)^[\s—\-&&[^\n]]*+\d++[\s—\-&&[^\n]]*+$")
+    return let(F.when(bare, F.regexp_replace(x, numbers, "")).otherwise(x), lambda y: F.when(y.contains("第"), F.regexp_replace(y, pages, "")).otherwise(y))
+
+
 def is_toc_page(x: Column, contents_word: str = "目录") -> Column:
     x = trim_ws(F.coalesce(x, F.lit("")))
     lines = lines_of(x)
@@ -143,14 +149,30 @@ def clean_native_docs(docs: DataFrame) -> DataFrame:
 
 
 def text_quality(x: Column, script: str = r"[一-鿿]") -> Column:
-    """struct(label, reason, counts and ratios) of a text; script: the characters that speak for it."""
+    """struct of a text's label, reason, seven counts and three ratios; script: the characters that speak for it."""
+    x = F.coalesce(x, F.lit(""))
     visible, main = F.regexp_count(x, F.lit(r"(?U)\S")), F.regexp_count(x, F.lit(script))
-    abnormal, noise = F.regexp_count(x, F.lit(ABNORMAL)), F.regexp_count(x, F.lit(r"[\\|~`^*_=+<>#@]"))
-    garbled = F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: (F.length(w) >= 8) & (F.regexp_count(w, F.lit(r"[^\p{L}\p{N}]")) * 2 > F.length(w))))
-    part = lambda n: F.when(visible > 0, n / visible).otherwise(F.lit(0.0))
-    label = (
-        F.when(visible < 80, F.lit("low_quality")).when((part(main) >= 0.25) & (part(abnormal) < 0.03) & (garbled <= 2), F.lit("high_quality"))
-        .when((part(main) >= 0.12) & (part(noise) < 0.20) & (garbled <= 8), F.lit("mixed_quality")).otherwise(F.lit("low_quality"))
-    )
-    reason = F.when(visible < 80, F.lit("text_too_short")).when(label == "low_quality", F.lit("garbled_or_noisy")).otherwise(F.lit(""))
-    return F.struct(label.alias("quality_label"), reason.alias("quality_reason"), visible.alias("visible_chars"), main.alias("script_chars"), abnormal.alias("abnormal_chars"), noise.alias("noise_chars"), F.round(part(main), 4).alias("script_ratio"))
+    english, digits = F.regexp_count(x, F.lit("[A-Za-z]")), F.regexp_count(x, F.lit(r"(?U)\d"))
+    abnormal = F.regexp_count(x, F.lit(ABNORMAL))
+    noise = sum((F.length(x) - F.length(F.regexp_replace(x, p, "")) for p in NOISE_RUNS), F.lit(0))
+
+    def garbled(s: Column) -> Column:
+        seen, own = F.regexp_count(s, F.lit(r"(?U)\S")), F.regexp_count(s, F.lit(script))
+        odd, letters = F.regexp_count(s, F.lit(ABNORMAL)), F.regexp_count(s, F.lit("[A-Za-z]"))
+        return ((seen >= 15) & (own <= 2) & (odd >= 3)) | ((seen >= 25) & (own / seen < 0.08) & ((odd + letters) / seen > 0.6))
+
+    segments = F.size(F.filter(F.split(x, "[\n。；;]", -1), lambda s: F.when(F.length(s) >= 15, garbled(s)).otherwise(False)))
+    counts = F.struct(visible.alias("v"), main.alias("m"), english.alias("e"), digits.alias("d"), abnormal.alias("a"), noise.alias("n"), segments.alias("g"))
+
+    def judged(c: Column) -> Column:
+        part = lambda n: F.when(c["v"] > 0, n / c["v"]).otherwise(F.lit(0.0))
+        own, odd, loud = part(c["m"]), part(c["a"]), part(c["a"] + c["n"])
+        high, mixed = (own >= 0.25) & (odd < 0.03) & (c["g"] <= 2), (own >= 0.12) & (loud < 0.20) & (c["g"] <= 8)
+        reason = F.when(c["v"] < 80, "text_too_short").when(high, "readable_chinese_text").when(mixed, "partially_readable").otherwise("garbled_or_noisy")
+        label = F.when(c["v"] < 80, "low_quality").when(high, "high_quality").when(mixed, "mixed_quality").otherwise("low_quality")
+        return F.struct(
+            label.alias("quality_label"), reason.alias("quality_reason"), c["v"].alias("visible_chars"), c["m"].alias("script_chars"), c["e"].alias("english_chars"), c["d"].alias("digits"), c["a"].alias("abnormal_chars"),
+            c["n"].alias("punctuation_noise"), c["g"].alias("garbled_segments"), F.round(own, 4).alias("script_ratio"), F.round(odd, 4).alias("abnormal_ratio"), F.round(loud, 4).alias("noise_ratio"),
+        )
+
+    return let(counts, judged)

@@ -10,12 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, count_hits
+from ..functions.text import contains_any, count_hits, trim_ws
 from .chunk import sentences
 
-#: The codes of standards.
-STANDARD_CODES = [r"DL/T\s*\d+(?:\.\d+)?(?:[-—]\d{4})?", r"GB/T\s*\d+(?:\.\d+)?(?:[-—]\d{4})?", r"NB/T\s*\d+(?:\.\d+)?(?:[-—]\d{4})?", r"Q/HN\s*[-\w\.]+"]
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -32,21 +29,25 @@ class Rule:
     weak_longest: int = 80
     pairs: tuple[str, ...] = field(default=())
 
-    def gate(self, sentence: Column, head: Column, tail: Column) -> Column:
-        if not (self.words or self.weak or self.pairs):
-            return F.lit(True)
-        out = contains_any(sentence, list(self.words)) | ((F.length(sentence) <= self.weak_longest) & contains_any(sentence, list(self.weak)))
+    def said(self, sentence: Column) -> Column:
+        """Whether a sentence's words open the gate for all its pairs."""
+        return contains_any(sentence, list(self.words)) | ((F.length(sentence) <= self.weak_longest) & contains_any(sentence, list(self.weak)))
+
+    def paired(self, sentence: Column, head: Column, tail: Column) -> Column:
+        """Whether a pattern opens it for one pair."""
+        out = F.lit(False)
         for p in self.pairs:
             parts: list[Column] = []
             for piece in p.replace("{head}", "\0h\0").replace("{tail}", "\0t\0").split("\0"):
                 parts.append(F.concat(F.lit("\\Q"), head if piece == "h" else tail, F.lit("\\E")) if piece in ("h", "t") else F.lit(piece))
-            out = out | F.regexp_like(sentence, F.concat(*parts))
+            out = out | F.regexp_like(sentence, F.concat(F.lit("(?Ud)"), *parts))
         return out
 
 
-def standards(x: Column, patterns: list[str] = STANDARD_CODES) -> Column:
+def standards(x: Column, patterns: list[str]) -> Column:
+    """The distinct codes in x, white space in them made single blanks."""
     found = F.concat(*(F.regexp_extract_all(x, F.lit(f"(?iuU)({p})"), F.lit(1)) for p in patterns))
-    return F.array_distinct(F.transform(found, lambda s: F.regexp_replace(s, r"(?U)\s+", "")))
+    return F.array_distinct(F.transform(found, lambda s: trim_ws(F.regexp_replace(s, r"(?U)\s+", " "))))
 
 
 def terms_in(x: Column, vocabulary: list[tuple[str, str]]) -> Column:
@@ -72,18 +73,22 @@ def mentions(chunks: DataFrame, vocabulary: list[tuple[str, str]], text: Column
     return chunks.select("doc_id", "chunk_id", F.explode(entities(text, vocabulary, codes)).alias("e")).select(F.col("e.name").alias("entity_name"), F.col("e.type").alias("entity_type"), "doc_id", "chunk_id")
 
 
+def pairs_of(found: Column, sentence: Column, rule: Rule, gated: bool = True) -> Column:
+    """array of struct(head, head_type, relation, tail, tail_type): the pairs that a rule makes of a sentence's entities."""
+    heads, tails = F.filter(found, lambda e: e["type"] == rule.head), F.filter(found, lambda e: e["type"] == rule.tail)
+    made = F.flatten(F.transform(heads, lambda h: F.transform(tails, lambda t: F.struct(h["name"].alias("head"), F.lit(rule.head).alias("head_type"), F.lit(rule.relation).alias("relation"), t["name"].alias("tail"), F.lit(rule.tail).alias("tail_type")))))
+    if not gated or not (rule.words or rule.weak or rule.pairs):
+        return made
+    # words are looked for once a sentence, patterns only where they do not decide
+    others = F.filter(made, lambda p: rule.paired(sentence, p["head"], p["tail"])) if rule.pairs else F.slice(made, 1, 0)
+    return F.when(rule.said(sentence), made).otherwise(others)
+
+
 def relations(chunks: DataFrame, vocabulary: list[tuple[str, str]], rules: list[Rule], text: Column, ends: str = r"[。！？；;\n]+") -> DataFrame:
     """head_entity, head_type, relation, tail_entity, tail_type, doc_id, chunk_id, ord, source_sentence: the first sentence of a chunk that has it."""
     rows = chunks.select("doc_id", "chunk_id", F.posexplode(sentences(text, ends)).alias("ord", "source_sentence"))
     rows = rows.withColumn("_e", entities(F.col("source_sentence"), vocabulary)).filter(F.size("_e") >= 2)
-    sentence = F.col("source_sentence")
-
-    def pairs(rule: Rule) -> Column:
-        heads, tails = F.filter("_e", lambda e: e["type"] == rule.head), F.filter("_e", lambda e: e["type"] == rule.tail)
-        made = F.flatten(F.transform(heads, lambda h: F.transform(tails, lambda t: F.struct(h["name"].alias("head"), F.lit(rule.head).alias("head_type"), F.lit(rule.relation).alias("relation"), t["name"].alias("tail"), F.lit(rule.tail).alias("tail_type")))))
-        return F.filter(made, lambda p: rule.gate(sentence, p["head"], p["tail"]))
-
-    rows = rows.withColumn("r", F.explode(F.array_distinct(F.concat(*map(pairs, rules)))))
+    rows = rows.withColumn("r", F.explode(F.array_distinct(F.concat(*(pairs_of(F.col("_e"), F.col("source_sentence"), rule) for rule in rules)))))
     rows = rows.select(F.col("r.head").alias("head_entity"), "r.head_type", "r.relation", F.col("r.tail").alias("tail_entity"), "r.tail_type", "doc_id", "chunk_id", "ord", "source_sentence")
     first = F.min_by(F.struct("head_type", "tail_type", "source_sentence", "ord"), F.struct("ord", "head_type", "tail_type"))
     kept = rows.groupBy("head_entity", "relation", "tail_entity", "doc_id", "chunk_id").agg(first.alias("f"))
@@ -91,8 +96,8 @@ def relations(chunks: DataFrame, vocabulary: list[tuple[str, str]], rules: list[
 
 
 def sample(rows: DataFrame, keys: list[str], n: int = 60, seed: int = 42) -> DataFrame:
-    """n rows by a seeded hash of their keys: the same ones however the rows are partitioned."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """n rows by a seeded digest of their keys: the same ones however the rows are partitioned."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))), *keys).limit(n)
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

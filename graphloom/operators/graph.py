@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import label
+
 
 def vertices(mentions: DataFrame) -> DataFrame:
     return mentions.select(F.col("entity_name").alias("name"), F.col("entity_type").alias("type")).distinct()
 
 
-def edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relations with both ends among the nodes, distinct by (head, relation, tail, doc_id, chunk_id); dangling ones go."""
+def edges(relations: DataFrame, nodes: DataFrame, stored_names: dict[str, str] | None = None) -> DataFrame:
+    """Relations with both ends among the nodes, distinct by (head, relation, tail, doc_id, chunk_id); dangling ones go.
+
+    stored_names: what column rel_zh holds for a relation; its type where that is not among them.
+    """
+    if stored_names is not None:
+        relations = relations.withColumn("rel_zh", label(F.col("relation"), stored_names))
     rows = relations.dropDuplicates(["head_entity", "relation", "tail_entity", "doc_id", "chunk_id"])
     ends = lambda n, t: nodes.select(F.col("name").alias(n), F.col("type").alias(t))
     rows = rows.join(ends("head_entity", "head_type"), ["head_entity", "head_type"], "left_semi").join(ends("tail_entity", "tail_type"), ["tail_entity", "tail_type"], "left_semi")
@@ -38,14 +45,14 @@ def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def scaled(value: Column, least: float, span: float) -> Column:
-    """least + value / the largest value * span, rounded to two places."""
-    return F.round(least + value / F.max(value).over(Window.partitionBy(F.lit(0))) * span, 2)
+def scaled(rows: DataFrame, value: str, to: str, least: float, span: float) -> DataFrame:
+    """rows with column to: least + value / the largest value * span, rounded to two places. The largest is one row, joined to all."""
+    largest = rows.agg(F.max(value).alias("_most"))
+    return rows.crossJoin(F.broadcast(largest)).withColumn(to, F.round(least + F.col(value) / F.col("_most") * span, 2)).drop("_most")
 
 
 def type_graph(e: DataFrame) -> DataFrame:
-    rows = counts_by(e, "src_type", "relation", "dst_type")
-    return rows.withColumn("width", scaled(F.col("n"), 2, 6))
+    return scaled(counts_by(e, "src_type", "relation", "dst_type"), "n", "width", 2, 6)
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def edge_sources(e: DataFrame, source: list[str]) -> DataFrame:
     return e.groupBy("src", "relation", "dst").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(*source).alias("source_count"))
 
 
-def local_edges(grouped: DataFrame, center: str, priority: dict[str, int], n: int = 12, default: int = 10) -> DataFrame:
+def local_edges(grouped: DataFrame, center: str | Column, priority: dict[str, int], n: int = 12, default: int = 10) -> DataFrame:
     """The n best edges around a center: relation priority, 20 for touching it, and up to 5 for sources."""
     table = F.create_map(*(F.lit(x) for kv in priority.items() for x in kv))
     score = F.coalesce(F.try_element_at(table, F.col("relation")), F.lit(default)) + F.when((F.col("src") == center) | (F.col("dst") == center), 20).otherwise(0) + F.least("source_count", F.lit(5))

@@ -88,9 +88,20 @@ def ocr_drop_reason(spark, sf_dir):
     return rows.select("doc_id", "clean_text_len", "visible_text_ratio", "has_structure_hint", "is_filtered", "filter_reason")
 
 
-@query()
+SEEN = r"[^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+COUNT = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
+GONE = lambda x, p: f"(length({x}) - length(regexp_replace({x}, '{p}', '', 'g')))"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN v < 80 THEN 'low_quality' WHEN high THEN 'high_quality' WHEN mixed THEN 'mixed_quality' ELSE 'low_quality' END AS quality_label,
+ CASE WHEN v < 80 THEN 'text_too_short' WHEN high THEN 'readable_chinese_text' WHEN mixed THEN 'partially_readable' ELSE 'garbled_or_noisy' END AS quality_reason, v AS visible_chars, d AS digits, a AS abnormal_chars, n AS punctuation_noise, g AS garbled_segments, round(own, 4) AS script_ratio
+ FROM (SELECT *, own >= 0.25 AND odd < 0.03 AND g <= 2 AS high, own >= 0.12 AND loud < 0.20 AND g <= 8 AS mixed FROM (SELECT *, CASE WHEN v > 0 THEN m / v ELSE 0 END AS own, CASE WHEN v > 0 THEN a / v ELSE 0 END AS odd, CASE WHEN v > 0 THEN (a + n) / v ELSE 0 END AS loud
+ FROM (SELECT doc_id, {COUNT('x', SEEN)} AS v, {COUNT('x', '[A-Za-z]')} AS m, {COUNT('x', r'\p{Nd}')} AS d, {COUNT('x', clean.ABNORMAL)} AS a, {' + '.join(GONE('x', p) for p in clean.NOISE_RUNS)} AS n,
+ len(list_filter(regexp_split_to_array(x, '[\n。；;]'), lambda s: ({COUNT('s', SEEN)} >= 15 AND {COUNT('s', '[A-Za-z]')} <= 2 AND {COUNT('s', clean.ABNORMAL)} >= 3) OR ({COUNT('s', SEEN)} >= 25 AND {COUNT('s', '[A-Za-z]')} / {COUNT('s', SEEN)} < 0.08 AND ({COUNT('s', clean.ABNORMAL)} + {COUNT('s', '[A-Za-z]')}) / {COUNT('s', SEEN)} > 0.6))) AS g
+ FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))))""")
 def quality_label(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", clean.text_quality(F.col("text"), "[A-Za-z]").alias("q")).select("doc_id", "q.quality_label", "q.quality_reason", "q.script_ratio")
+    rows = table(spark, sf_dir, "documents").select("doc_id", clean.text_quality(F.col("text"), "[A-Za-z]").alias("q"))
+    return rows.select("doc_id", "q.quality_label", "q.quality_reason", "q.visible_chars", "q.digits", "q.abnormal_chars", "q.punctuation_noise", "q.garbled_segments", "q.script_ratio")
 
 
 @query("SELECT page_id, substring(md5(coalesce(nullif(url, ''), 'unknown_doc')), 1, 12) AS doc_id FROM pages")
@@ -109,12 +120,40 @@ def sentences(spark, sf_dir):
     return rows.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join(F.array_sort("s"), "|")).alias("sentences"))
 
 
-@query()
+WHITE = "concat(" + ", ".join(f"chr({ord(c)})" for c in T.WHITE) + ")"
+NORMAL = f"trim(regexp_replace(regexp_replace(replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '　', ' '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {WHITE})"
+PARTS = f"parts AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, trim(x, {WHITE}) AS x FROM (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, CASE WHEN contains(x, chr(10) || chr(10)) THEN string_split(x, chr(10) || chr(10)) ELSE string_split(x, chr(10)) END AS ps FROM (SELECT doc_id, {NORMAL} AS x FROM documents))) WHERE trim(x, {WHITE}) <> '')"
+
+
+def grouped_sql(rows: str, least: int, to: str) -> str:
+    """CTEs that end with to (doc_id, p, x): rows (doc_id, p, x) joined to groups of `least` characters or more."""
+    return f"""{to}_g AS (SELECT doc_id, p, length(x) AS n, 1 AS g, length(x) AS held FROM {rows} WHERE p = 1 UNION ALL SELECT r.doc_id, r.p, length(r.x), CASE WHEN held >= {least} THEN g + 1 ELSE g END, CASE WHEN held >= {least} THEN length(r.x) ELSE held + 1 + length(r.x) END FROM {to}_g JOIN {rows} r ON r.doc_id = {to}_g.doc_id AND r.p = {to}_g.p + 1),
+ {to} AS (SELECT r.doc_id, g AS p, string_agg(x, chr(10) ORDER BY r.p) AS x FROM {rows} r JOIN {to}_g q ON q.doc_id = r.doc_id AND q.p = r.p GROUP BY r.doc_id, g)"""
+
+
+def split_sql(rows: str, ends: str, to: str, longest: int = 500) -> str:
+    """CTEs that end with to (doc_id, p, x): rows (doc_id, p, x), those over `longest` characters cut into packed sentences."""
+    return f"""{to}_s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k, trim(s, {WHITE}) AS s FROM (SELECT doc_id, p, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, p, regexp_extract_all(x, '[^{ends}]*[{ends}]|[^{ends}]+') AS ss FROM {rows} WHERE length(x) > {longest})) WHERE trim(s, {WHITE}) <> ''),
+ {to}_r AS (SELECT doc_id, p, k, s, CASE WHEN length(s) > {longest} THEN 1 ELSE 0 END AS piece, CASE WHEN length(s) > {longest} THEN 2 ELSE 0 END AS cur, CASE WHEN length(s) > {longest} THEN 0 ELSE length(s) END AS held FROM {to}_s WHERE k = 1
+ UNION ALL SELECT n.doc_id, n.p, n.k, n.s, CASE WHEN held + length(n.s) <= {longest} THEN cur ELSE cur + 1 END, CASE WHEN held + length(n.s) <= {longest} THEN cur WHEN length(n.s) > {longest} THEN cur + 2 ELSE cur + 1 END,
+ CASE WHEN held + length(n.s) <= {longest} THEN held + length(n.s) WHEN length(n.s) > {longest} THEN 0 ELSE length(n.s) END FROM {to}_r JOIN {to}_s n ON n.doc_id = {to}_r.doc_id AND n.p = {to}_r.p AND n.k = {to}_r.k + 1),
+ {to}_u AS (SELECT doc_id, p, 0 AS piece, 0 AS sub, x FROM {rows} WHERE length(x) <= {longest} UNION ALL SELECT doc_id, p, piece, 0, string_agg(s, '' ORDER BY k) FROM {to}_r WHERE length(s) <= {longest} GROUP BY doc_id, p, piece
+ UNION ALL SELECT doc_id, p, piece, i, trim(substring(s, i + 1, {longest}), {WHITE}) FROM (SELECT doc_id, p, piece, s, unnest(range(0, length(s), {longest})) AS i FROM {to}_r WHERE length(s) > {longest}) WHERE trim(substring(s, i + 1, {longest}), {WHITE}) <> ''),
+ {to} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, piece, sub) AS p, x FROM {to}_u)"""
+
+
+@query(f"WITH RECURSIVE {PARTS}, {split_sql('parts', '。！？；;.!?', 'units')}, {grouped_sql('units', 120, 'chunks')} SELECT doc_id, printf('%s_chunk_%04d', doc_id::VARCHAR, p) AS chunk_id, 1 AS page_start, 1 AS page_end, length(x)::INT AS chunk_len, md5(x) AS chunk_md5 FROM chunks")
 def chunk_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit(1).alias("page_num"), F.col("text").alias("text"), F.lit(False).alias("is_toc_page"))).alias("pages"))
     return chunk.chunk_documents(docs).select("doc_id", "chunk_id", "page_start", "page_end", "chunk_len", F.md5("chunk_text").alias("chunk_md5"))
 
 
+@query(f"WITH RECURSIVE {PARTS}, {grouped_sql('parts', 80, 'paras')}, {split_sql('paras', '。！？；;', 'pieces')} SELECT doc_id, printf('%s_chunk_%04d', doc_id::VARCHAR, p) AS chunk_id, length(x)::INT AS text_len, md5(x) AS text_md5 FROM pieces")
+def chunk_pages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit(1).alias("page_num"), F.col("text").alias("text"), F.lit(False).alias("is_toc_page"))).alias("cleaned_pages"))
+    return chunk.chunk_pages(docs, label=None).select("doc_id", "chunk_id", "text_len", F.md5("text").alias("text_md5"))
+
+
 @query(f"SELECT doc_id, name AS entity_name, type AS entity_type FROM documents JOIN {TERMS} ON contains(text, name)")
 def term_mentions(spark, sf_dir):
     return extract.mentions(document_chunks(spark, sf_dir), VOCABULARY, F.col("text")).select("doc_id", "entity_name", "entity_type")
@@ -277,8 +316,8 @@ PAGES = "(SELECT coalesce(d.doc_id, l.doc_id) AS page, CASE WHEN nullif(d.text,
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    native = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("doc_key"), F.col("doc_id").alias("page_num"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).otherwise(F.lit("")).alias("text"), F.lit(False).alias("is_toc_page"))
-    ocr = table(spark, sf_dir, "labels").select((F.col("doc_id") % 10).alias("doc_key"), F.col("doc_id").alias("page_num"), F.concat(F.lit("quality "), F.col("quality")).alias("clean_text"), (F.col("quality") == 0).alias("is_filtered"), F.lit("").alias("filter_reason"), F.col("quality").alias("ord"))
+    native = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("doc_key"), F.col("doc_id").alias("page_num"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).otherwise(F.lit("")).alias("text"), F.lit(False).alias("is_toc_page"))
+    ocr = table(spark, sf_dir, "labels").select(F.expr("doc_id div 10").alias("doc_key"), F.col("doc_id").alias("page_num"), F.concat(F.lit("quality "), F.col("quality")).alias("clean_text"), (F.col("quality") == 0).alias("is_filtered"), F.lit("").alias("filter_reason"), F.col("quality").alias("ord"))
     return merge.merge_pages(native, merge.best_page(ocr, ["doc_key", "page_num"]))
 
 
@@ -292,21 +331,80 @@ def source_stats(spark, sf_dir):
     return graph.counts_by(merged(spark, sf_dir), "selected_source")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality = 0, quality) AS n FROM labels) WHERE n = 1),
+ p AS (SELECT coalesce(d.doc_id, l.doc_id) AS page, CASE WHEN d.doc_id % 3 <> 0 AND d.text <> '' THEN d.text WHEN l.doc_id IS NOT NULL THEN concat('quality ', quality) ELSE '' END AS text FROM documents d FULL JOIN l ON l.doc_id = d.doc_id)
+ SELECT page // 10 AS doc_key, count(*)::INT AS page_count, md5(coalesce(string_agg(concat('[PAGE ', page, ']', chr(10), text), chr(10) ORDER BY page) FILTER (text <> ''), '')) AS merged_md5 FROM p GROUP BY page // 10""")
 def merged_text(spark, sf_dir):
-    return merge.assemble(merged(spark, sf_dir)).select("doc_key", "page_count", F.md5("merged_text").alias("merged_md5"), F.length("merged_text").alias("merged_len"))
+    return merge.assemble(merged(spark, sf_dir)).select("doc_key", "page_count", F.md5("merged_text").alias("merged_md5"))
 
 
-@query("SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality = 0, quality) AS n FROM labels) WHERE n = 1")
+@query("SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (doc_id + k) % 3 = 0, doc_id * k % 7 DESC, k) AS n FROM (SELECT doc_id, unnest(range(1, 6))::INT AS k FROM documents) WHERE doc_id * k % 7 > 0) WHERE n = 1")
 def best_page_pick(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit("x").alias("clean_text"), (F.col("quality") == 0).alias("is_filtered"), F.col("quality").alias("ord"))
-    return merge.best_page(rows, ["doc_id"]).select("doc_id", "quality")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
+    rows = rows.select("doc_id", "k", F.expr("repeat('x', cast(doc_id * k % 7 as int))").alias("clean_text"), ((F.col("doc_id") + F.col("k")) % 3 == 0).alias("is_filtered"), F.col("k").alias("ord"))
+    return merge.best_page(rows, ["doc_id"]).select("doc_id", "k")
 
 
-@query("SELECT page_id, split_part(url, '/', 3) AS host, regexp_replace(url, '^.*/', '') AS last FROM pages")
+@query(r"""SELECT rel AS relative_path, regexp_replace(name, '\.[^.]*$', '') AS file_stem, name AS file_name, coalesce(parts[1], '') AS level_1_dir, coalesce(parts[2], '') AS level_2_dir, coalesce(parts[3], '') AS level_3_dir, lower(regexp_extract(name, '(\.[^.]*)$', 1)) AS suffix, round(n / 1048576, 2) AS size_mb
+ FROM (SELECT page_id, rel, string_split(rel, '/') AS parts, string_split(rel, '/')[-1] AS name, n FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS rel, length(html) * 1000 AS n FROM pages))""")
 def scan_paths(spark, sf_dir):
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.try_element_at(F.split(url, "/"), F.lit(3)), F.lit("")).alias("host"), F.regexp_replace(url, "^.*/", "").alias("last"))
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("/in/"), F.regexp_replace("url", "^[a-z]+://", "")).alias("path"), (F.length("html") * 1000).alias("length"))
+    return files.describe(rows, "/in").select("relative_path", "file_stem", "file_name", "level_1_dir", "level_2_dir", "level_3_dir", "suffix", "size_mb")
+
+
+PROBED = f"""(SELECT doc_id, CASE WHEN bad THEN -1 ELSE len(lines) END AS page_count, CASE WHEN bad THEN 0 ELSE length(trim(array_to_string(list_filter(lines[1:5], lambda x: x <> ''), chr(10)), {WHITE})) END AS sample_text_len, bad FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, doc_id % 50 = 0 AS bad FROM documents WHERE text IS NOT NULL))"""
+
+
+def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as if each line were a page; one in fifty cannot be read."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    return files.probe(pages.select("doc_id", (F.col("i") + 1).alias("page_num"), "text", F.when(F.col("doc_id") % 50 == 0, "no such file").alias("error")), ["doc_id"])
+
+
+@query(f"SELECT doc_id, page_count, sample_text_len, bad OR sample_text_len < 200 AS is_scanned_suspect, CASE WHEN bad THEN 'failed: no such file' ELSE 'success' END AS detect_status FROM {PROBED}")
+def type_probe(spark, sf_dir):
+    return probed(spark, sf_dir)
+
+
+@query(f"SELECT count(*) AS total, count_if(NOT bad) AS success, count_if(bad OR sample_text_len < 200) AS scanned, count_if(NOT (bad OR sample_text_len < 200)) AS text, count_if(bad) AS failed FROM {PROBED}")
+def probe_summary(spark, sf_dir):
+    return files.probe_summary(probed(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT concat('/in/', doc_id // 2) AS full_path FROM {PROBED} WHERE NOT bad AND sample_text_len < 200 AND doc_id // 2 % 5 <> 0")
+def scanned_files(spark, sf_dir):
+    rows = probed(spark, sf_dir).withColumn("full_path", F.concat(F.lit("/in/"), F.expr("doc_id div 2")))
+    present = table(spark, sf_dir, "documents").filter("doc_id div 2 % 5 <> 0").select(F.concat(F.lit("/in/"), F.expr("doc_id div 2")).alias("path"))
+    return files.scanned(rows, present).select("full_path")
+
+
+@query(f"SELECT doc_id FROM {PROBED} WHERE NOT (bad OR sample_text_len < 200)")
+def textual_files(spark, sf_dir):
+    return files.textual(probed(spark, sf_dir)).select("doc_id")
+
+
+POOL = """k AS (SELECT *, CASE WHEN path <> '' THEN 'rel::' || path ELSE 'name::' || name END AS doc_key FROM (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('dir/', doc_id % 300) END AS path, concat('n', doc_id % 50, '.PDF') AS name, coalesce(text, '') AS text FROM documents)),
+ o AS (SELECT *, CASE WHEN path <> '' THEN 'rel::' || path ELSE 'name::' || name END AS doc_key FROM (SELECT doc_id AS id, concat('dir/', doc_id % 400) AS path, '' AS name, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 4 END AS page, repeat('y', (doc_id % 3)::INT) AS text, quality = 0 AS bad FROM labels)),
+ nat AS (SELECT doc_key, unnest([1, 3]) AS page, unnest([text, '']) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY lpad(id::VARCHAR, 12, '0') DESC) AS n FROM k) WHERE n = 1),
+ pick AS (SELECT doc_key, page, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, page ORDER BY bad, length(text) DESC, id) AS n FROM o WHERE page > 0 AND text <> '') WHERE n = 1),
+ pages AS (SELECT coalesce(nat.doc_key, pick.doc_key) AS doc_key, coalesce(nat.page, pick.page) AS page, CASE WHEN nat.text <> '' THEN 'text_clean' WHEN pick.text <> '' THEN 'ocr_clean' ELSE 'empty' END AS source FROM nat FULL JOIN pick ON pick.doc_key = nat.doc_key AND pick.page = nat.page),
+ keys AS (SELECT doc_key, max(has) = 1 AS has_text_clean, min(has) = 0 AS has_ocr_clean, coalesce(max(path), '') AS path, coalesce(arg_min(name, (1 - has, place)) FILTER (name <> ''), '') AS name FROM (SELECT doc_key, 1 AS has, path, name, lpad(id::VARCHAR, 12, '0') AS place FROM k UNION ALL SELECT doc_key, 0, path, name, lpad(id::VARCHAR, 20, '0') FROM o) GROUP BY doc_key)"""
+
+
+@query(f"WITH {POOL} SELECT keys.doc_key, substring(md5(coalesce(nullif(path, ''), nullif(name, ''), 'unknown_doc')), 1, 12) AS doc_id, regexp_replace(name, '(?i)\\.pdf$', '') AS title, has_text_clean, has_ocr_clean, count(source)::INT AS page_count, coalesce(count_if(source = 'text_clean'), 0)::INT AS n_text, coalesce(count_if(source = 'ocr_clean'), 0)::INT AS n_ocr FROM keys LEFT JOIN pages ON pages.doc_key = keys.doc_key GROUP BY ALL")
+def document_pool(spark, sf_dir):
+    c = F.col
+    native = table(spark, sf_dir, "documents").select(
+        F.lpad(c("doc_id").cast("string"), 12, "0").alias("file_path"), F.when(c("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("dir/"), c("doc_id") % 300)).alias("relative_path"), F.concat(F.lit("n"), c("doc_id") % 50, F.lit(".PDF")).alias("file_name"),
+        F.array(*(F.struct(F.lit(n).alias("page_num"), x.alias("text"), F.lit(False).alias("is_toc_page")) for n, x in ((1, F.coalesce("text", F.lit(""))), (3, F.lit(""))))).alias("cleaned_pages"),
+    )
+    ocr = table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("dir/"), c("doc_id") % 400).alias("relative_path"), F.lit("").alias("file_name"), F.when(c("doc_id") % 5 == 0, "x").otherwise((c("doc_id") % 4).cast("string")).alias("page_num"), F.expr("repeat('y', cast(doc_id % 3 as int))").alias("clean_text"),
+        (c("quality") == 0).alias("is_filtered"), F.lit("").alias("filter_reason"), c("doc_id").alias("ord"),
+    )
+    docs = merge.standard_documents(*merge.document_pool(native, ocr))
+    stat = lambda k: F.coalesce(F.try_element_at("selected_source_stats", F.lit(k)), F.lit(0))
+    return docs.select("doc_key", "doc_id", "title", "has_text_clean", "has_ocr_clean", "page_count", stat("text_clean").alias("n_text"), stat("ocr_clean").alias("n_ocr"))
 
 
 @query("SELECT o_orderkey, n FROM (SELECT o_orderkey, 4 AS n FROM orders) e WHERE NOT EXISTS (SELECT 1 FROM (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY l_orderkey) WHERE l_orderkey = o_orderkey AND c = n)")
@@ -315,14 +413,14 @@ def resume_antijoin(spark, sf_dir):
     return files.pending(expected, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"]).select("o_orderkey", F.col("n").cast("int").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5(concat_ws('|', '42', doc_id)), doc_id LIMIT 60")
 def sample_hash(spark, sf_dir):
     return extract.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"])
 
 
 @query("SELECT event_type, count(*) AS n, count_if(value > 50) AS n_high, sum(CASE WHEN value <= 50 THEN 1 ELSE 0 END) AS n_low FROM events GROUP BY event_type")
 def run_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("n_high"), F.count_if(F.col("value") <= 50).alias("n_low"))
+    return files.run_summary(table(spark, sf_dir, "events"), "event_type", F.col("value") > 50)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

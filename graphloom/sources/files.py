@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import trim_ws
+
 
 def inventory(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
     """Files below folder with this suffix (any case); contents are not read."""
@@ -31,10 +34,126 @@ def json_documents(spark: SparkSession, folder: str, schema: StructType | str, w
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines without the malformed ones."""
+    """JSON lines without the malformed ones; a path that is not there has no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+#: Columns of an inventory table.
+INVENTORY = "file_stem string, file_name string, full_path string, relative_path string, level_1_dir string, level_2_dir string, level_3_dir string, suffix string, size_mb double, page_count int, sample_text_len int, is_scanned_suspect string, detect_status string"
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """An inventory as CSV with a header; a byte-order mark, and columns that are not there, do not matter."""
+    return spark.read.schema(INVENTORY).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def probe(pages: DataFrame, keys: list[str], sample: int = 5, least: int = 200) -> DataFrame:
+    """keys, page_count, sample_text_len, is_scanned_suspect, detect_status: from the text of the first `sample` pages of each document.
+
+    pages: keys, page_num, text, error (null, or why the file could not be read: then -1, 0, true and the error).
+    """
+    first = F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("page_num") <= sample) & (F.coalesce("text", F.lit("")) != ""), F.struct("page_num", "text")))), lambda p: p["text"]), "\n")
+    rows = pages.groupBy(*keys).agg(F.count("page_num").cast("int").alias("page_count"), F.length(trim_ws(first)).alias("sample_text_len"), F.min("error").alias("_e"))
+    failed = F.col("_e").isNotNull()
+    return rows.select(
+        *keys, F.when(failed, -1).otherwise(F.col("page_count")).alias("page_count"), F.when(failed, 0).otherwise(F.col("sample_text_len")).alias("sample_text_len"),
+        (failed | (F.col("sample_text_len") < least)).alias("is_scanned_suspect"), F.when(failed, F.concat(F.lit("failed: "), F.substring("_e", 1, 100))).otherwise("success").alias("detect_status"),
+    )
+
+
+def _succeeded(status: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(status, F.lit("")))).startswith("success")
+
+
+def is_true(x: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(x.cast("string"))).isin("true", "1", "yes"), F.lit(False))
+
+
+def scanned(rows: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Inventory rows that were read well and look scanned, one a full_path; with present (path), only those that are there.
+
+    Without the columns that say so (no probe was made), all rows that name a path.
+    """
+    named = rows.filter(F.coalesce(F.trim("full_path"), F.lit("")) != "")
+    if {"detect_status", "is_scanned_suspect"} <= set(rows.columns):
+        named = named.filter(_succeeded(F.col("detect_status")) & is_true(F.col("is_scanned_suspect")))
+    named = named.dropDuplicates(["full_path"])
+    return named if present is None else named.join(present.select(F.col("path").alias("full_path")).distinct(), "full_path", "left_semi")
+
+
+def textual(rows: DataFrame) -> DataFrame:
+    """Inventory rows whose files have a text of their own."""
+    return rows.filter(~is_true(F.col("is_scanned_suspect")))
+
+
+def first_by_path(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows in the order of their relative paths; n: only so many of them, to try things out."""
+    ordered = rows.orderBy("relative_path")
+    return ordered if n is None else ordered.limit(n)
+
+
+def probe_summary(rows: DataFrame) -> DataFrame:
+    """One row: total, success, scanned, text, failed."""
+    ok, scan = _succeeded(F.col("detect_status")), is_true(F.col("is_scanned_suspect"))
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("success"), F.count_if(scan).alias("scanned"), F.count_if(~scan).alias("text"), F.count_if(~ok).alias("failed"))
+
+
+def run_summary(rows: DataFrame, status: str, high: Column) -> DataFrame:
+    """n rows of each status, and how many of them are high and not."""
+    return rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.count_if(high).alias("n_high"), F.count_if(~high).alias("n_low"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with a header in place of what is at path, which must not be what rows are read from."""
+    rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines in place of what is at path."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_documents(rows: DataFrame, path: str, key: str | None = None) -> None:
+    """JSON documents, one a line; with key, a folder for each of its values, as an export of few documents may want."""
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(key) if key else writer).json(path)
+
+
+def refresh_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """The graph tables as Parquet in place of those in folder, once nodes are known to be unique by (name, type)."""
+    if not is_unique(nodes, ["name", "type"]):
+        raise ValueError("nodes repeat a name and type")
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+
+
+def clear_graph(spark: SparkSession, folder: str, nodes: str, edges: str) -> None:
+    """Empty graph tables of these schemas in place of those in folder."""
+    refresh_graph(spark.createDataFrame([], nodes), spark.createDataFrame([], edges), folder)
+
+
+def is_unique(rows: DataFrame, keys: list[str]) -> bool:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def memo(rows: DataFrame) -> DataFrame:
+    """rows kept in memory, or on disk where it is too small, for all that read them again; call unpersist() on them to read anew."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def select(spark: SparkSession, text: str, views: dict[str, DataFrame], **values: object) -> DataFrame:
+    """SQL over these views, its :names taken from values (never pasted into the text)."""
+    return spark.sql(text, args=values, **views)
+
+
 def pending(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of expected (keys, n) whose n rows are not yet in done (keys): to be done or done anew."""
     return expected.join(done.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), [*keys, "n"], "left_anti")
