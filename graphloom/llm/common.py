@@ -34,13 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet into the shared folder and read back: lineage ends there and lost executors lose nothing.
 
-    The folder is removed when the session's process ends.
+    The folder is removed by release(), or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _kept.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._graphloom_stored = (spark, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that stored() returned, once what was made of them is stored itself: nothing may read them after this."""
+    for table in tables:
+        spark, path = table._graphloom_stored
+        _kept.remove((spark, path))
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

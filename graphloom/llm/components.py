@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 SALTS = 16
 
@@ -24,8 +24,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of edges (u, v); undirected, repeats and loops allowed.
 
-    Each round is written to the shared folder, so no lineage grows and a lost executor costs no earlier round. Rounds grow
-    with the logarithm of the longest path. An empty table gives no rows.
+    Each round is written to the shared folder, so no lineage grows and a lost executor costs no earlier round; the round before
+    goes then. Rounds grow with the logarithm of the longest path. The result is stored. An empty table gives no rows.
     """
     edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
@@ -34,10 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         near = _with_least(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = stored(small)
+        last, edges = edges, stored(small)
+        release(last)
         now = _state(edges)
         if now == before:
             break
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stored(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    release(edges)
+    return out

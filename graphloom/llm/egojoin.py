@@ -218,7 +218,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     # an id with several vectors is one node: it joins the classes that these are in
     several = keyed.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("vec_id")
     bridges = keyed.join(several, "vec_id").join(slim.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
-    labels = stored(components(links.filter("v is not null").select("u", "v").unionByName(bridges)))
+    labels = components(links.filter("v is not null").select("u", "v").unionByName(bridges))
     found = slim.join(counts, ["h1", "h2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("h1", "h2", "m", "rep", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     alone = found.filter("m = 1").select(F.col("rep").alias("vec_id"), "n_links", "component_id")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import release, ship, stored
 from .components import components
 from .wordhash import mix, ranges, signed, words
 
@@ -124,12 +124,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     long = lists.filter(~short)
     pairs = _meet(long, long.groupBy("key").agg(*_pivots()), percent).unionByName(_meet_all(lists.filter(short), percent)).distinct()
     likely = stored(_likely(pairs, sketches, percent))
-    clusters = stored(components(likely.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    clusters = components(likely.select(F.col("a").alias("u"), F.col("b").alias("v")))
     links = stored(_linked(docs, clusters, sketches, k, percent))
-    labels = stored(components(links))
+    labels = components(links)
     open_ = stored(_open_lists(lists, labels))
+    release(sizes, lists, likely, clusters)  # what follows is made of stored tables alone
     if not open_.isEmpty():
-        labels = stored(components(links.unionByName(_linked(docs, open_, sketches, k, percent))))
+        first, labels = labels, components(links.unionByName(_linked(docs, open_, sketches, k, percent)))
+        release(first)
+    release(links, open_)
     grouped = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
     # a class's representative may be linked with nothing but its copies; it is its own component's least id then
     whole = labels.unionByName(grouped)
