@@ -132,11 +132,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if not open_.isEmpty():
         first, labels = labels, components(links.unionByName(_linked(docs, open_, sketches, k, percent)))
         release(first)
-    release(links, open_)
+    counts = stored(sketches.select("doc_id", F.col("n").alias("n_shingles")))
+    release(links, open_, sketches)  # lists and sketches do not lie about while the result is used
     grouped = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
     # a class's representative may be linked with nothing but its copies; it is its own component's least id then
     whole = labels.unionByName(grouped)
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = counts.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
