@@ -57,4 +57,16 @@ OP2 = f"""WITH {CRC},
  p AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n)::DOUBLE, s, r, doc_id) - 1 AS position, count(*) OVER () AS total FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (position * {SHARDS} // total)::INT AS shard, (position - ((position * {SHARDS} // total) * total + {SHARDS} - 1) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, source FROM p"""
 
-ORACLE = {"op2_stratified_shards": OP2, "op4_bottom_k_dedup": OP4, "op5_chat_grammar": OP5, "op6_grid_order_join": OP6, "op8_zip_warc": OP8}
+TERM_RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+SPREAD = "(p - q) * (p - q) // (p + q)"
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERM_RUNS} AS ts FROM documents),
+ t AS (SELECT i, lang, source, unnest(ts) AS term FROM d), kept AS (SELECT lang, term, count(*) AS m FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+ g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*) AS v, sum(m)::BIGINT AS total FROM kept GROUP BY lang),
+ c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL), n AS (SELECT g.lang, g.source, kept.term, m, coalesce(n, 0)::BIGINT AS n FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+ p AS (SELECT n.*, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY n.lang, source)::BIGINT + 2 * v) AS p, 1 + 1000000000 * (m + 2) // (total + 2 * v) AS own FROM n JOIN v ON v.lang = n.lang),
+ pair AS (SELECT lang, source, item, sum({SPREAD})::BIGINT AS value FROM (SELECT a.lang, a.source, b.source AS item, a.p AS p, b.p AS q FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source) GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+ terms AS (SELECT lang, source, 'term' AS part, term AS item, ({SPREAD})::BIGINT AS value FROM (SELECT lang, source, term, n, p, own AS q FROM p) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 10"""
+
+ORACLE = {"op2_stratified_shards": OP2, "op4_bottom_k_dedup": OP4, "op5_chat_grammar": OP5, "op6_grid_order_join": OP6, "op8_zip_warc": OP8, "op11_term_blocks": OP11}

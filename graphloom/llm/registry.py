@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, egojoin, fingerprint, langid, minhash, oracle, packing, sharding, suffixes, warc
+from . import bytebpe, chat, divergence, egojoin, fingerprint, langid, minhash, oracle, packing, sharding, suffixes, warc
 
 WINDOW = 4096
 SHARDS = 24
@@ -67,6 +67,10 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(texts).drop("fp", "edited_fp").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_term_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

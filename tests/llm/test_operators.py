@@ -131,10 +131,8 @@ def test_repeats_equal_all_runs_of_fifty_words(spark):
     for d, text in rows:
         w = text.split()
         runs = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
-        covered = sorted({i + t for i, x in enumerate(runs) if seen.get(x, d) < d for t in range(50)})
-        for x in runs:
-            seen.setdefault(x, d)
-        want[d] = covered
+        firsts = [seen.setdefault(x, (d, i)) for i, x in enumerate(runs)]
+        want[d] = sorted({i + t for i, (first, at) in enumerate(firsts) if first < d or i >= at + 50 for t in range(50)})
     got = {d: [] for d, _ in rows}
     for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r["doc_id"]] += range(r["begin_word"], r["end_word"])
