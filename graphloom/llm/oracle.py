@@ -69,4 +69,11 @@ OP11 = f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS la
  terms AS (SELECT lang, source, 'term' AS part, term AS item, ({SPREAD})::BIGINT AS value FROM (SELECT lang, source, term, n, p, own AS q FROM p) WHERE n > 0 AND p > q)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 10"""
 
-ORACLE = {"op2_stratified_shards": OP2, "op4_bottom_k_dedup": OP4, "op5_chat_grammar": OP5, "op6_grid_order_join": OP6, "op8_zip_warc": OP8, "op11_term_blocks": OP11}
+WORD_RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, {WORD_RUNS} AS ts FROM documents), q AS (SELECT DISTINCT item_id, unnest({WORD_RUNS}) AS term FROM benchmark),
+ s AS (SELECT count(*) AS nn, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0), p AS (SELECT i, doc_id, n, term, count(*) AS tf FROM (SELECT i, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+ r AS (SELECT item_id, i, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l))))::BIGINT AS score FROM q JOIN p ON p.term = q.term JOIN w ON w.term = q.term, s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0) WHERE rank <= 50"""
+
+ORACLE = {"op2_stratified_shards": OP2, "op4_bottom_k_dedup": OP4, "op5_chat_grammar": OP5, "op6_grid_order_join": OP6, "op8_zip_warc": OP8, "op11_term_blocks": OP11, "op13_inverted_treaps": OP13}
