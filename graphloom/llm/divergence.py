@@ -159,7 +159,8 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, lang: str = "lang", s
     marks = placed.filter("first").withColumn("a", F.explode(every("_sides"))).withColumn("b", F.explode(F.sequence(F.col("a"), F.col("_sides") - 1)))
     cells = placed.withColumns({"a": side, "b": F.explode(every("_sides"))})
     tiles = row(own, F.col("source"), none, F.col("n")).unionByName(row(marks, none, F.col("term"), F.col("m"))).unionByName(row(cells, F.col("source"), F.col("term"), F.col("n")))
-    made = tiles.groupBy("lang", "t", "i", "j").applyInPandas(lambda key, rows: _tile(key, rows, top), TILE)
+    # without this the tiles of a language would stay where its joins have put them, in one task
+    made = tiles.repartition("lang", "t", "i", "j").groupBy("lang", "t", "i", "j").applyInPandas(lambda key, rows: _tile(key, rows, top), TILE)
     summed = made.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
     return summed.withColumn("rank", F.row_number().over(order)).filter((F.col("part") == "pair") | (F.col("rank") <= top))
