@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, divergence, egojoin, fingerprint, langid, minhash, oracle, packing, sharding, suffixes, treaps, warc
+from . import bytebpe, chat, divergence, egojoin, fingerprint, langid, minhash, oracle, packing, quality, sharding, suffixes, treaps, warc
 
 WINDOW = 4096
 SHARDS = 24
@@ -71,6 +71,10 @@ def op11_term_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), quality.trusted(table(spark, sf_dir, "labels")))
+
+
 def op13_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
