@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, count_hits, label
-from .ask import confidence, holding, level
+from ..sources.stage import staged
+from .ask import confidence, level
+from .dictionary import holding
 
 # Names, hints and sentences that answers are made of.
 OPEN_INTENTS = ["作用用途", "定义说明", "综合查询"]
@@ -111,9 +113,13 @@ def score_record(sentence: Column, entity: Column, target: Column, file_name: Co
     return out
 
 
-def score_row(intent: Column, question: Column, relation: Column, target: Column, target_type: Column, sentence: Column, file_name: Column, page: Column) -> Column:
-    """A graph row's points for a question; each of the question's words of two or more characters that its sentence holds counts."""
-    tokens = F.regexp_extract_all(question, F.lit("([一-鿿A-Za-z0-9]{2,})"), F.lit(1))
+def tokens_of(question: Column) -> Column:
+    """A question's words of two or more characters."""
+    return F.regexp_extract_all(question, F.lit("([一-鿿A-Za-z0-9]{2,})"), F.lit(1))
+
+
+def score_row(intent: Column, tokens: Column, relation: Column, target: Column, target_type: Column, sentence: Column, file_name: Column, page: Column) -> Column:
+    """A graph row's points for a question; each of its tokens that the row's sentence holds counts."""
     return (
         points((target != "") & sentence.contains(target), 3) + points(page != "", 1) + points(contains_any(file_name, FILE_WORDS), 1)
         + points(of_intent(intent, relation, RELATIONS_OF), 5) + points(of_intent(intent, target_type, TYPES_OF), 4)
@@ -128,6 +134,7 @@ def retrieve(asked: DataFrame, edges: DataFrame, forward: int = 120, reverse: in
     by = Window.partitionBy("src").orderBy("ord", "relation", "dst", "source_sentence")
     back = F.col("intent") == REVERSE_INTENT
     # only asked nodes' rows are ranked, and limited before questions meet them: a hot node costs each question no more than the limit
+    asked = asked.withColumn("_tokens", tokens_of(F.col("question")))  # once a question, not once a row
     names = asked.select(F.col("entity").alias("src")).distinct()
     first = lambda rows, n: rows.join(names, "src", "left_semi").withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= n).drop("_n")
     found = [asked.filter(test).join(rows, F.col("entity") == F.col("src")) for test, rows in ((~back, first(e, forward)), (back, first(turned, reverse)))]
@@ -143,17 +150,17 @@ def rank(rows: DataFrame, n: int = 8) -> DataFrame:
     kept = rows.withColumn("_fits", fits).withColumn("_any", F.max("_fits").over(Window.partitionBy("question_id"))).filter("_fits or not _any")
     c = F.col
     place = F.when(c("intent").isin(OPEN_INTENTS), F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, OPEN_ORDER)), c("relation")), F.lit(0)), F.lit(999))).otherwise(0)
-    kept = kept.withColumns({"score": score_row(c("intent"), c("question"), c("relation"), c("dst"), c("dst_type"), c("source_sentence"), c("file_name"), c("page")), "_place": place})
+    kept = kept.withColumns({"score": score_row(c("intent"), c("_tokens"), c("relation"), c("dst"), c("dst_type"), c("source_sentence"), c("file_name"), c("page")), "_place": place})
     order = [c("score").desc(), c("_place"), c("ord"), c("relation"), c("dst"), c("source_sentence")]
     once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("question_id", "src", "relation", "dst").orderBy(*order))).filter("_n = 1")
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).filter(c("rank") <= n).drop("_n", "_fits", "_any", "_place")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).filter(c("rank") <= n).drop("_n", "_fits", "_any", "_place", "_tokens")
 
 
 def evidence(targets: DataFrame, edges: DataFrame, n: int = 8) -> DataFrame:
     """Up to n distinct (file_name, page, source_sentence) of a question whose sentence holds its entity and one of its targets."""
     said = edges.filter(F.col("source_sentence") != "").groupBy("file_name", "page", "source_sentence").agg(F.min("ord").alias("ord"))
     # sentences meet distinct (entity, targets) only: questions that ask the same cost no more pairs
-    wanted = targets.select("entity", "targets").distinct()
+    wanted = staged(targets.select("entity", "targets").distinct())
     hits = holding(said, "source_sentence", wanted, "entity").filter(F.exists("targets", lambda t: (t != "") & F.col("source_sentence").contains(t)))
     by = Window.partitionBy("entity", "targets").orderBy("ord", "file_name", "page", "source_sentence")
     kept = hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)
@@ -195,7 +202,8 @@ def answers(asked: DataFrame, edges: DataFrame) -> DataFrame:
     asked: question_id, question, intent, entity (that of the graph it was matched to). Null page and file_name count as empty.
     """
     edges = edges.withColumns({x: F.coalesce(F.col(x), F.lit("")) for x in ("file_name", "page", "source_sentence")})
-    ranked = rank(retrieve(asked, edges))
+    asked = staged(asked)  # what follows reads these two several times: a question's few rows
+    ranked = staged(rank(retrieve(asked, edges)))
     listed = ranked.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "relation", "dst", "dst_type"))), lambda r: F.struct(r["relation"].alias("relation"), r["dst"].alias("dst"), r["dst_type"].alias("dst_type"))).alias("rows"))
     targets = asked.select("question_id", "entity").join(listed, "question_id").select("question_id", "entity", _firsts(F.col("rows"), 5).alias("targets"))
     proofs = evidence(targets, edges).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "file_name", "page", "source_sentence"))).alias("proofs"))

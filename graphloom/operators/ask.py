@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from .dictionary import holding
 
 
 def intent(question: Column, patterns: dict[str, list[str]], default: str) -> Column:
@@ -35,28 +36,19 @@ def specificity(name: Column, kind: Column, question: Column, preferred: list[st
     )
 
 
-def holding(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """Rows of texts with each row of names whose name their text contains; empty names are in none.
-
-    Texts are cut into their parts of the names' lengths, which meet the names by equality, so that it is a hash or merge join, not a
-    loop over all pairs. What is made known to all tasks is the list of lengths, bounded by the longest name.
-    """
-    sizes = names.select(F.length(name).alias("_k")).filter("_k > 0").distinct().agg(F.collect_list("_k").alias("_ks"))
-    parts = F.flatten(F.transform("_ks", lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, k))))
-    cut = texts.crossJoin(F.broadcast(sizes)).withColumn("_part", F.explode(F.array_distinct(parts))).drop("_ks")
-    return cut.join(names, F.col("_part") == F.col(name)).drop("_part")
-
-
 def match_entities(questions: DataFrame, nodes: DataFrame, score: Column) -> DataFrame:
     """The best node for each question (question_id, question, guess): the guess itself, then containment in the question, then in the guess.
 
     Containment counts either way round. An empty guess is in all names: then the best node for no question in particular is taken.
+    Names are sought in all questions and guesses at once, and questions and guesses that are no longer than the longest name in all names.
     """
     nodes = nodes.filter("name <> ''")
     asked = questions.select("question_id", "question", "guess")
-    found = [asked.join(nodes, F.col("guess") == F.col("name")).withColumn("prio", F.lit(0))]
-    for prio, side in ((1, "question"), (2, "guess")):
-        found += [x.withColumn("prio", F.lit(prio)) for x in (holding(asked, side, nodes, "name"), holding(nodes, "name", asked, side))]
+    sides = F.array(F.struct(F.lit(1).alias("prio"), F.col("question").alias("side")), F.struct(F.lit(2).alias("prio"), F.col("guess").alias("side")))
+    sides = asked.withColumn("_s", F.explode(sides)).select("*", "_s.*").drop("_s")
+    longest = nodes.agg(F.max(F.length("name")).alias("n")).scalar()
+    short = sides.withColumn("_longest", longest).filter(F.length("side") <= F.col("_longest")).drop("_longest")
+    found = [asked.join(nodes, F.col("guess") == F.col("name")).withColumn("prio", F.lit(0)), holding(sides, "side", nodes, "name"), holding(nodes, "name", short, "side")]
     top = nodes.withColumn("question", F.lit("")).withColumn("score", score).orderBy(F.col("score").desc(), F.length("name").desc(), "name", "type").limit(1).select("name", "type")
     found.append(asked.filter("guess = ''").crossJoin(F.broadcast(top)).withColumn("prio", F.lit(2)))
     rows = found[0].select("question_id", "question", "guess", "name", "type", "prio")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, count_hits, trim_ws
 from .chunk import sentences
+from .dictionary import holding
 
 
 @dataclass(frozen=True)
@@ -73,6 +74,22 @@ def mentions(chunks: DataFrame, vocabulary: list[tuple[str, str]], text: Column
     return chunks.select("doc_id", "chunk_id", F.explode(entities(text, vocabulary, codes)).alias("e")).select(F.col("e.name").alias("entity_name"), F.col("e.type").alias("entity_type"), "doc_id", "chunk_id")
 
 
+def mentions_of(chunks: DataFrame, vocabulary: DataFrame, text: Column | None = None) -> DataFrame:
+    """mentions() with a vocabulary that is a table (name, type) of any size: each text is walked once, however many terms there are."""
+    text = F.coalesce(F.col("text"), F.col("chunk_text")) if text is None else text
+    rows = holding(chunks.select("doc_id", "chunk_id", text.alias("_text")), "_text", vocabulary.select("name", "type"), "name", keep_text=False)
+    return rows.select(F.col("name").alias("entity_name"), F.col("type").alias("entity_type"), "doc_id", "chunk_id").distinct()
+
+
+def relations_of(chunks: DataFrame, vocabulary: DataFrame, rules: list[Rule], text: Column, ends: str = r"[。！？；;\n]+") -> DataFrame:
+    """relations() with a vocabulary that is a table (name, type) of any size."""
+    rows = chunks.select("doc_id", "chunk_id", F.posexplode(sentences(text, ends)).alias("ord", "source_sentence"))
+    found = holding(rows, "source_sentence", vocabulary.select("name", "type"), "name")
+    # a sentence's entities meet in one row: as many as it holds
+    kept = found.groupBy("doc_id", "chunk_id", "ord", "source_sentence").agg(F.collect_set(F.struct("name", "type")).alias("_e"))
+    return _related(kept.filter(F.size("_e") >= 2), rules)
+
+
 def pairs_of(found: Column, sentence: Column, rule: Rule, gated: bool = True) -> Column:
     """array of struct(head, head_type, relation, tail, tail_type): the pairs that a rule makes of a sentence's entities."""
     heads, tails = F.filter(found, lambda e: e["type"] == rule.head), F.filter(found, lambda e: e["type"] == rule.tail)
@@ -88,6 +105,11 @@ def relations(chunks: DataFrame, vocabulary: list[tuple[str, str]], rules: list[
     """head_entity, head_type, relation, tail_entity, tail_type, doc_id, chunk_id, ord, source_sentence: the first sentence of a chunk that has it."""
     rows = chunks.select("doc_id", "chunk_id", F.posexplode(sentences(text, ends)).alias("ord", "source_sentence"))
     rows = rows.withColumn("_e", entities(F.col("source_sentence"), vocabulary)).filter(F.size("_e") >= 2)
+    return _related(rows, rules)
+
+
+def _related(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Relations of sentences (doc_id, chunk_id, ord, source_sentence) with their entities _e."""
     rows = rows.withColumn("r", F.explode(F.array_distinct(F.concat(*(pairs_of(F.col("_e"), F.col("source_sentence"), rule) for rule in rules)))))
     rows = rows.select(F.col("r.head").alias("head_entity"), "r.head_type", "r.relation", F.col("r.tail").alias("tail_entity"), "r.tail_type", "doc_id", "chunk_id", "ord", "source_sentence")
     first = F.min_by(F.struct("head_type", "tail_type", "source_sentence", "ord"), F.struct("ord", "head_type", "tail_type"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answer, ask, chunk, clean, extract, graph, merge
 from ..sources import files
+from ..sources.stage import staged
 
 VOCABULARY = [("thing", "Device"), ("tion the", "Parameter"), ("heand", "Fault"), ("stand", "Fault"), ("edin", "Symptom"), ("onthe", "Cause"), ("with", "Method"), ("ouen", "Action")]
 RULES = [
@@ -159,6 +160,17 @@ def term_mentions(spark, sf_dir):
     return extract.mentions(document_chunks(spark, sf_dir), VOCABULARY, F.col("text")).select("doc_id", "entity_name", "entity_type")
 
 
+@query("WITH v AS (SELECT DISTINCT w AS name, concat('L', least(length(w), 9)) AS type FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> '') SELECT doc_id, name AS entity_name, type AS entity_type FROM documents JOIN v ON contains(text, name)")
+def vocabulary_mentions(spark, sf_dir):
+    """Mentions of a vocabulary that is a table: all words of the benchmark, by length."""
+    return extract.mentions_of(document_chunks(spark, sf_dir), benchmark_words(spark, sf_dir), F.col("text")).select("doc_id", "entity_name", "entity_type")
+
+
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("name")).filter("name <> ''").distinct()
+    return words.withColumn("type", F.concat(F.lit("L"), F.least(F.length("name"), F.lit(9))))
+
+
 @query(f"SELECT type AS entity_type, count(*) AS n FROM documents JOIN {TERMS} ON contains(text, name) GROUP BY type")
 def mention_counts(spark, sf_dir):
     return graph.counts_by(extract.mentions(document_chunks(spark, sf_dir), VOCABULARY, F.col("text")), "entity_type")
@@ -302,10 +314,45 @@ def confidence(spark, sf_dir):
     return rows.withColumn("level", ask.level(F.col("score")))
 
 
-@query()
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _of_intent(table: dict[str, list[str]], x: str) -> str:
+    return "CASE intent " + " ".join(f"WHEN '{k}' THEN {x} IN ({_listed(v)})" for k, v in table.items()) + " ELSE false END"
+
+
+#: Relations with the first sentence that has each, as edges; questions with their entity; their ranked rows, evidences and answers.
+#: No question here asks for what occurs on a part, so edges are followed forward only.
+FIRST = RELATIONS.replace("SELECT DISTINCT h.name AS head_entity, r.relation, t.name AS tail_entity, doc_id", "SELECT h.name AS src, any_value(h.type) AS src_type, r.relation, t.name AS dst, any_value(t.type) AS dst_type, doc_id AS ord, doc_id::VARCHAR AS file_name, min(k)::VARCHAR AS page, arg_min(s, k) AS said").replace(SENTENCES, "s")
+NAMED = f"""SELECT conv_id, turn, name, text, intent FROM (SELECT conv_id, turn, name, text, CASE intent WHEN 'causal' THEN '故障症状' WHEN 'method' THEN '使用方法' WHEN 'place' THEN '参数要求' ELSE '综合查询' END AS intent, row_number() OVER (PARTITION BY conv_id, turn ORDER BY 3 * length(name) + 30 + CASE WHEN type = 'Device' THEN 15 ELSE 0 END - CASE WHEN name = 'with' THEN 25 ELSE 0 END DESC, length(name) DESC, name, type) AS n
+ FROM {ASKED} JOIN {TERMS} ON contains(text, name)) WHERE n = 1"""
+ZH = "CASE relation " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in answer.RELATION_NAMES.items()) + " ELSE relation END"
+SAID = "CASE intent " + " ".join(f"WHEN '{k}' THEN format('{v.replace('%s', '{}')}', name, joined)" for k, v in answer.SENTENCES.items()) + f" ELSE concat(format('{answer.ANY.replace('%s', '{}')}', name, joined), CASE WHEN about <> '' THEN format('{answer.ANY_MORE.replace('%s', '{}')}', about) ELSE '' END) END"
+GRAPH_ANSWERS = f"""WITH s AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM (SELECT doc_id, trim(s) AS s, i FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\\n]+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?\\n]+'), 1) AS i FROM documents)) WHERE s <> ''),
+ e AS (SELECT * FROM {FIRST[:-1]} GROUP BY h.name, r.relation, t.name, doc_id)), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ord, relation, dst, said) AS n FROM e) WHERE n <= 120), q AS ({NAMED}),
+ hits AS (SELECT q.*, near.* EXCLUDE n, {_of_intent(answer.RELATIONS_OF, 'relation')} AS wanted, {_of_intent(answer.TYPES_OF, 'dst_type')} AS typed FROM q JOIN near ON near.src = q.name),
+ fit AS (SELECT * FROM (SELECT *, bool_or(wanted OR typed) OVER (PARTITION BY conv_id, turn) AS any_ FROM hits) WHERE wanted OR typed OR NOT any_),
+ scored AS (SELECT *, CASE WHEN contains(said, dst) THEN 3 ELSE 0 END + 1 + CASE WHEN wanted THEN 5 ELSE 0 END + CASE WHEN typed THEN 4 ELSE 0 END + CASE WHEN {' OR '.join(f"intent = '{k}' AND (" + ' OR '.join(f"contains(said, '{w}')" for w in v) + ')' for k, v in answer.SENTENCE_WORDS.items())} THEN 3 ELSE 0 END
+ + len(list_filter(regexp_extract_all(text, '[一-鿿A-Za-z0-9]{{2,}}'), lambda t: contains(said, t))) AS score, CASE WHEN intent = '综合查询' THEN coalesce(nullif(list_position([{_listed(answer.OPEN_ORDER)}], relation), 0), 999) ELSE 0 END AS place FROM fit),
+ once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, src, relation, dst ORDER BY score DESC, place, ord, relation, dst, said) AS n FROM scored) WHERE n = 1),
+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, place, ord, relation, dst, said) AS r FROM once) WHERE r <= 8),
+ firsts AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY r) AS n FROM (SELECT conv_id, turn, dst, min(r) AS r FROM top GROUP BY ALL)), t AS (SELECT conv_id, turn, list(dst ORDER BY n) AS targets FROM firsts WHERE n <= 5 GROUP BY ALL),
+ zh AS (SELECT conv_id, turn, {ZH} AS zh, dst, min(r) AS r FROM top WHERE r <= 6 GROUP BY ALL), four AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, zh ORDER BY r) AS n, min(r) OVER (PARTITION BY conv_id, turn, zh) AS f FROM zh),
+ named AS (SELECT conv_id, turn, zh || '包括：' || string_agg(dst, '、' ORDER BY r) AS x, row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(f)) AS n FROM four WHERE n <= 4 GROUP BY conv_id, turn, zh), about AS (SELECT conv_id, turn, string_agg(x, '；' ORDER BY n) AS about FROM named WHERE n <= 4 GROUP BY ALL),
+ p AS (SELECT file_name, page, said, min(ord) AS ord FROM e GROUP BY ALL), proofs AS (SELECT * FROM (SELECT q.conv_id, q.turn, p.*, row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY ord, file_name, page, said) AS n FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.turn JOIN p ON contains(said, name) AND len(list_filter(targets, lambda x: contains(said, x))) > 0) WHERE n <= 8),
+ f AS (SELECT conv_id, turn, count(*) AS evidences, count(DISTINCT file_name) AS files, arg_min(file_name, n) AS file_name, arg_min(page, n) AS page FROM proofs GROUP BY ALL),
+ g AS (SELECT conv_id, turn, count(*) AS graph_hits, bool_or(wanted) AS wanted FROM top GROUP BY ALL),
+ o AS (SELECT q.conv_id, q.turn, name, intent, coalesce(graph_hits, 0) AS graph_hits, coalesce(evidences, 0) AS evidences, greatest(0, least(100, least(coalesce(graph_hits, 0), 8) * 5 + least(coalesce(evidences, 0), 8) * 5 + CASE WHEN files >= 2 THEN 10 ELSE 0 END + CASE WHEN evidences > 0 THEN 10 ELSE 0 END + CASE WHEN wanted THEN 10 ELSE 0 END)) AS score,
+ array_to_string(targets, '、') AS joined, coalesce(about, '') AS about, CASE WHEN evidences > 0 THEN concat(format('{answer.SOURCE.replace('%s', '{}')}', file_name), format('{answer.SOURCE_PAGE.replace('%s', '{}')}', page), '{answer.SOURCE_END}') ELSE '' END AS cited
+ FROM q LEFT JOIN t ON t.conv_id = q.conv_id AND t.turn = q.turn LEFT JOIN about ON about.conv_id = q.conv_id AND about.turn = q.turn LEFT JOIN f ON f.conv_id = q.conv_id AND f.turn = q.turn LEFT JOIN g ON g.conv_id = q.conv_id AND g.turn = q.turn)
+SELECT conv_id, turn, name AS entity, intent, md5(CASE WHEN graph_hits = 0 THEN format('{answer.NO_ROWS.replace('%s', '{}')}', name) ELSE concat({SAID}, cited) END) AS answer_md5, score::INT AS score, CASE WHEN score >= 75 THEN '高' WHEN score >= 45 THEN '中' ELSE '低' END AS level, graph_hits::INT AS graph_hits, evidences::INT AS evidences FROM o"""
+
+
+@query(GRAPH_ANSWERS)
 def graph_answers(spark, sf_dir):
     """Answers to all user turns that name a term, from the relations of all documents."""
-    edges = document_relations(spark, sf_dir).select(F.col("head_entity").alias("src"), F.col("head_type").alias("src_type"), "relation", F.col("tail_entity").alias("dst"), F.col("tail_type").alias("dst_type"), F.col("doc_id").cast("string").alias("file_name"), F.col("ord").cast("string").alias("page"), "source_sentence", F.col("doc_id").alias("ord"))
+    edges = staged(document_relations(spark, sf_dir)).select(F.col("head_entity").alias("src"), F.col("head_type").alias("src_type"), "relation", F.col("tail_entity").alias("dst"), F.col("tail_type").alias("dst_type"), F.col("doc_id").cast("string").alias("file_name"), F.col("ord").cast("string").alias("page"), "source_sentence", F.col("doc_id").alias("ord"))
     known = {"causal": "故障症状", "method": "使用方法", "place": "参数要求"}
     asked = questions(spark, sf_dir).select("conv_id", "turn", "text", T.label(F.col("intent"), known, F.lit("综合查询")).alias("intent"))
     asked = asked.join(entity_match_top1(spark, sf_dir), ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("question_id"), F.col("text").alias("question"), "intent", F.col("name").alias("entity"))
