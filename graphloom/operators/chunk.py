@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, let, normalize, trim_ws
+from . import folds
+from .ordering import numbered
 
 ENDS, LEGACY_ENDS = r"(?<=[。！？；;.!?])", r"(?<=[。！？；;])"
 
@@ -90,6 +92,25 @@ def chunk_documents(docs: DataFrame, least: int = 120, longest: int = 500, ends:
     )
 
 
+def chunk_page_rows(pages: DataFrame, least: int = 120, longest: int = 500, ends: str = ENDS, block: int = folds.BLOCK) -> DataFrame:
+    """chunk_documents() of documents whose pages are rows (doc_id, page_num, text, is_toc_page), for documents larger than a row.
+
+    A document's units are numbered by ranges and grouped by blocks, so that its pages may be spread over all tasks.
+    """
+    kept = pages.filter(~F.coalesce("is_toc_page", F.lit(False)) & (F.coalesce(trim_ws(F.col("text")), F.lit("")) != ""))
+    cut = F.flatten(F.transform(paragraphs(F.col("text")), lambda g: _split_long(g, longest, ends)))
+    units = kept.select("doc_id", "page_num", F.posexplode(cut).alias("_at", "_text"))
+    return chunk_units(numbered(units, ["page_num", "_at"], "i", ["doc_id"]), least, block)
+
+
+def chunk_units(units: DataFrame, least: int = 120, block: int = folds.BLOCK) -> DataFrame:
+    """Chunks of units in their order (doc_id, i from 0, page_num, _text): chunk_id, page_start, page_end, chunk_text, chunk_len."""
+    groups = folds.grouped(units.select("doc_id", "i", F.length("_text").alias("n")), ["doc_id"], folds.short_units(least), block=block)
+    rows = units.join(groups, ["doc_id", "i"]).groupBy("doc_id", "group").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"), F.sort_array(F.collect_list(F.struct("i", "_text"))).alias("_u"))
+    text = F.array_join(F.transform("_u", lambda u: u["_text"]), "\n")
+    return rows.select("doc_id", chunk_id(F.col("doc_id").cast("string"), F.col("group") + 1).alias("chunk_id"), "page_start", "page_end", text.alias("chunk_text"), F.length(text).alias("chunk_len"))
+
+
 def chunk_pages(docs: DataFrame, least: int = 80, longest: int = 500, label: str | None = "high_quality") -> DataFrame:
     """The per-page way: a page's short paragraphs are merged first, then long ones are split; chunks are numbered through the document.
 

@@ -41,6 +41,8 @@ COLOURS = {
     "MaintenanceAction": "#5CB85C", "Action": "#5CB85C", "Method": "#F7C948", "Parameter": "#7E8AA2", "Condition": "#6F42C1",
 }
 ALIASES = {"风机": "风力发电机组", "风电机组": "风力发电机组", "互感器": "电压互感器"}
+#: Sources that an edge of a view lists; all of them are counted.
+SOURCES = 200
 OTHER, OTHER_COLOUR, CENTER_COLOUR, UNKNOWN_PAGE = "其他", "#9AA5B1", "#d9ecff", "未知"
 
 
@@ -80,15 +82,19 @@ def entity_neighbours(e: DataFrame, asked: DataFrame, most: int = 200, evidences
     return grouped_evidence(rows, ["src", "relation", "dst"], ["file_name", "page_display", "sentence"], "_n", evidences)
 
 
-def _sources(e: DataFrame, distinct: bool) -> DataFrame:
-    """Edges grouped by (src, relation_zh, dst): the sources in order (distinct ones, or all), how many, and the first ord."""
+def _sources(e: DataFrame, distinct: bool, most: int = SOURCES) -> DataFrame:
+    """Edges grouped by (src, relation_zh, dst): their first `most` sources in order (distinct ones, or all), how many there are, and the first ord.
+
+    An edge's rows are counted by partial sums and cut to `most` before they meet, so that no task or row holds all of a hot edge's.
+    """
     keys, parts = ["src", "relation_zh", "relation_short", "relation_category", "dst"], ["file_name", "page_display", "source_sentence"]
     rows = e.select(*keys, *(F.coalesce(x, F.lit("")).alias(x) for x in parts), "ord")
     if distinct:
         rows = rows.groupBy(*keys, *parts).agg(F.min("ord").alias("ord"))
-    listed = F.sort_array(F.collect_list(F.struct("ord", *parts)))
-    grouped = rows.groupBy(*keys).agg(F.min("ord").alias("ord"), listed.alias("sources"))
-    return grouped.withColumn("source_count", F.size("sources").cast("long"))
+    counted = rows.groupBy(*keys).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("source_count"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord", *parts))).filter(F.col("_n") <= most)
+    listed = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", *parts))).alias("sources"))
+    return counted.join(listed, keys).select(*keys, "ord", "sources", "source_count")
 
 
 def _named(e: DataFrame, last: bool) -> DataFrame:
