@@ -88,7 +88,27 @@ def safe_file_name(x: Column, n: int = 80) -> Column:
     return F.coalesce(nonblank(F.btrim(F.substring(x, 1, n), F.lit("._ "))), F.lit("unknown_doc"))
 
 
+def quoted(x: str) -> str:
+    """x as a literal of Spark SQL."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def array_of(words: list[str]) -> Column:
+    """Words as one array literal, in one call to the JVM however many they are."""
+    return F.expr(f"array({', '.join(map(quoted, words))})") if words else F.array().cast("array<string>")
+
+
+def map_of(names: dict[str, str]) -> Column:
+    return F.expr(f"map({', '.join(quoted(x) for kv in names.items() for x in kv)})") if names else F.create_map().cast("map<string,string>")
+
+
+#: Words from which on a list is looked through as one literal, so that generated code stays small.
+MANY = 12
+
+
 def contains_any(x: Column, words: list[str]) -> Column:
+    if len(words) >= MANY:
+        return let(x, lambda s: F.exists(array_of(words), lambda w: s.contains(w)))
     out = F.lit(False)
     for w in words:
         out = out | x.contains(w)
@@ -101,5 +121,4 @@ def count_hits(x: Column, words: list[str]) -> Column:
 
 def label(key: Column, names: dict[str, str], default: Column | None = None) -> Column:
     """The display name of key; without one, the default, or key itself."""
-    pairs = F.create_map(*(F.lit(x) for kv in names.items() for x in kv)) if names else F.create_map().cast("map<string,string>")
-    return F.coalesce(F.try_element_at(pairs, key), key if default is None else default)
+    return F.coalesce(F.try_element_at(map_of(names), key), key if default is None else default)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any
+from ..functions.text import contains_any, label
 from .dictionary import holding
 
 
@@ -26,7 +26,7 @@ def entity_guess(question: Column, dropped: list[str], strip: str = "？? ：:
 
 def alias(name: Column, names: dict[str, str]) -> Column:
     name = F.btrim(F.replace(name, F.lit("　"), F.lit(" ")))
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), name), name) if names else name
+    return label(name, names)
 
 
 def specificity(name: Column, kind: Column, question: Column, preferred: list[str], hints: list[str], generic: list[str]) -> Column:

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, count_hits, trim_ws
+from ..functions.text import contains_any, count_hits, quoted, trim_ws
 from .chunk import sentences
 from .dictionary import holding
 
@@ -53,7 +53,7 @@ def standards(x: Column, patterns: list[str]) -> Column:
 
 def terms_in(x: Column, vocabulary: list[tuple[str, str]]) -> Column:
     """The (name, type) of the vocabulary that x contains, in its order; for vocabularies of up to some hundred terms."""
-    table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in vocabulary))
+    table = F.expr("array(" + ", ".join(f"named_struct('name', {quoted(n)}, 'type', {quoted(t)})" for n, t in vocabulary) + ")")
     return F.array_distinct(F.filter(table, lambda e: x.contains(e["name"])))
 
 

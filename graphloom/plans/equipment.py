@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, packs, qa, views
 from ..operators.extract import Rule
-from ..sources import files
+from ..sources.stage import staged
 from .queries import query, table
 
 PACK = packs.PACKS["v3_1"]
@@ -61,7 +61,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = graph.vertices(packs.mentions(notes(spark, sf_dir)))
     e = graph.edges(packs.relations(notes(spark, sf_dir)), nodes, views.STORED_NAMES)
-    return files.memo(e.withColumn("page_span", F.lit(None).cast("string")).withColumn("ord", F.col("doc_id") * 100 + F.col("ord")))
+    return staged(e.withColumn("page_span", F.lit(None).cast("string")).withColumn("ord", F.col("doc_id") * 100 + F.col("ord")))
 
 
 def any_of(words: tuple[str, ...] | list[str], x: str = "s") -> str:
@@ -170,7 +170,7 @@ def _listed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sources", F.md5(F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["file_name"], x["page_display"], x["source_sentence"])), "|")))
 
 
-LISTED = "md5(string_agg(concat(file_name, ':', page_num, ':', source_sentence), '|' ORDER BY ord, file_name, page_num, source_sentence)) AS sources, count(*)::BIGINT AS source_count"
+LISTED = f"md5(array_to_string(list(concat(file_name, ':', page_num, ':', source_sentence) ORDER BY ord, file_name, page_num, source_sentence)[1:{views.SOURCES}], '|')) AS sources, count(*)::BIGINT AS source_count"
 STORED_SHORT, STORED_CATEGORY = map_sql("rel_zh", views.SHORT_NAMES), map_sql("rel_zh", views.CATEGORIES, quoted(views.OTHER))
 
 
