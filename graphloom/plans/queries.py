@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer, ask, chunk, clean, extract, graph, merge
+from ..operators.ordering import numbered
 from ..sources import files
-from ..sources.stage import staged
+from ..sources.graph_store import GraphStore
+from ..sources.stage import checkpoint_dir, staged
 
 VOCABULARY = [("thing", "Device"), ("tion the", "Parameter"), ("heand", "Fault"), ("stand", "Fault"), ("edin", "Symptom"), ("onthe", "Cause"), ("with", "Method"), ("ouen", "Action")]
 RULES = [
@@ -149,6 +152,13 @@ def chunk_documents(spark, sf_dir):
     return chunk.chunk_documents(docs).select("doc_id", "chunk_id", "page_start", "page_end", "chunk_len", F.md5("chunk_text").alias("chunk_md5"))
 
 
+@query(f"WITH RECURSIVE {PARTS}, {split_sql('parts', '。！？；;.!?', 'cuts')}, units AS (SELECT coalesce(source, '') AS doc_id, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY cuts.doc_id, p) AS p, x FROM cuts JOIN documents d ON d.doc_id = cuts.doc_id), {grouped_sql('units', 120, 'chunks')} SELECT doc_id AS source, printf('%s_chunk_%04d', doc_id, p) AS chunk_id, length(x)::INT AS chunk_len, md5(x) AS chunk_md5 FROM chunks")
+def chunk_long_documents(spark, sf_dir):
+    """Each source as one document whose pages are its documents: larger than a row, grouped by blocks."""
+    pages = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("doc_id"), F.col("doc_id").alias("page_num"), "text", F.lit(False).alias("is_toc_page"))
+    return chunk.chunk_page_rows(pages).select(F.col("doc_id").alias("source"), "chunk_id", "chunk_len", F.md5("chunk_text").alias("chunk_md5"))
+
+
 @query(f"WITH RECURSIVE {PARTS}, {grouped_sql('parts', 80, 'paras')}, {split_sql('paras', '。！？；;', 'pieces')} SELECT doc_id, printf('%s_chunk_%04d', doc_id::VARCHAR, p) AS chunk_id, length(x)::INT AS text_len, md5(x) AS text_md5 FROM pieces")
 def chunk_pages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit(1).alias("page_num"), F.col("text").alias("text"), F.lit(False).alias("is_toc_page"))).alias("cleaned_pages"))
@@ -202,6 +212,20 @@ def dangling_edges(spark, sf_dir):
     return graph.edges(document_relations(spark, sf_dir), nodes).select("src", "relation", "dst", "doc_id")
 
 
+@query(f"SELECT 'node' AS kind, src AS name, '' AS relation, '' AS dst FROM {EDGES} UNION SELECT 'node', dst, '', '' FROM {EDGES} UNION SELECT 'edge', src, relation, dst FROM {EDGES}")
+def graph_versions(spark, sf_dir):
+    """The orders' graph, committed with its urgent orders first and the others upserted, as its last version is read."""
+    edges = order_edges(spark, sf_dir)
+    nodes = lambda e: e.select(F.explode(F.array(F.struct(F.col("src").alias("name"), F.lit("Node").alias("type")), F.struct(F.col("dst").alias("name"), F.lit("Node").alias("type")))).alias("n")).select("n.*").distinct()
+    ends = lambda e: e.select("src", F.lit("Node").alias("src_type"), "relation", "dst", F.lit("Node").alias("dst_type"))
+    store = GraphStore(spark, f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}", edge_keys=["src", "relation", "dst"])
+    urgent, others = (edges.filter(F.col("relation") == "1-URGENT"), edges.filter(F.col("relation") != "1-URGENT"))
+    store.refresh(nodes(urgent), ends(urgent).distinct())
+    store.upsert(nodes(others), ends(others))
+    kept = store.read("nodes").select(F.lit("node").alias("kind"), "name", F.lit("").alias("relation"), F.lit("").alias("dst"))
+    return kept.unionByName(store.read("edges").select(F.lit("edge").alias("kind"), F.col("src").alias("name"), "relation", "dst"))
+
+
 @query(f"SELECT src, relation, dst, ord FROM {EDGES} WHERE src IN ('C7', 'C11')")
 def out_neighbors(spark, sf_dir):
     return graph.out_neighbours(order_edges(spark, sf_dir), spark.sql("SELECT * FROM VALUES ('C7'), ('C11') AS t(name)")).select("src", "relation", "dst", "ord")
@@ -399,6 +423,13 @@ def scan_paths(spark, sf_dir):
     return files.describe(rows, "/in").select("relative_path", "file_stem", "file_name", "level_1_dir", "level_2_dir", "level_3_dir", "suffix", "size_mb")
 
 
+@query("SELECT page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS ord, row_number() OVER (PARTITION BY substr(url, 1, 20) ORDER BY url, page_id) - 1 AS place FROM pages")
+def path_order(spark, sf_dir):
+    """Positions of all pages in the order of their addresses, and among those of one beginning."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.substring("url", 1, 20).alias("start"))
+    return numbered(numbered(rows, ["url", "page_id"]), ["url", "page_id"], "place", ["start"]).select("page_id", "ord", "place")
+
+
 PROBED = f"""(SELECT doc_id, CASE WHEN bad THEN -1 ELSE len(lines) END AS page_count, CASE WHEN bad THEN 0 ELSE length(trim(array_to_string(list_filter(lines[1:5], lambda x: x <> ''), chr(10)), {WHITE})) END AS sample_text_len, bad FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, doc_id % 50 = 0 AS bad FROM documents WHERE text IS NOT NULL))"""
 
 
