@@ -196,25 +196,39 @@ def sentence(intent: Column, entity: Column, rows: Column, evidences: Column) ->
     return F.when(F.size(rows) == 0, F.format_string(NO_ROWS, entity)).otherwise(F.concat(out, cited))
 
 
-def answers(asked: DataFrame, edges: DataFrame) -> DataFrame:
-    """question_id, entity, intent, answer, score, level, reason, graph_hits, evidences for every row of asked.
+#: What is kept of a ranked row, in this order after its rank.
+ROW = ["relation", "dst", "dst_type", "src", "src_type", "source_sentence", "file_name", "page", "score"]
 
-    asked: question_id, question, intent, entity (that of the graph it was matched to). Null page and file_name count as empty.
-    """
+
+def gathered(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """asked (question_id, question, intent, entity) with rows (the ranked ones), proofs (the evidence), score and level of every question."""
     edges = edges.withColumns({x: F.coalesce(F.col(x), F.lit("")) for x in ("file_name", "page", "source_sentence")})
     asked = staged(asked)  # what follows reads these two several times: a question's few rows
     ranked = staged(rank(retrieve(asked, edges)))
-    listed = ranked.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "relation", "dst", "dst_type"))), lambda r: F.struct(r["relation"].alias("relation"), r["dst"].alias("dst"), r["dst_type"].alias("dst_type"))).alias("rows"))
+    listed = ranked.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", *ROW))), lambda r: F.struct(*(r[x].alias(x) for x in ROW))).alias("rows"))
     targets = asked.select("question_id", "entity").join(listed, "question_id").select("question_id", "entity", _firsts(F.col("rows"), 5).alias("targets"))
     proofs = evidence(targets, edges).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "file_name", "page", "source_sentence"))).alias("proofs"))
     out = asked.join(listed, "question_id", "left").join(proofs, "question_id", "left")
     none = lambda x: F.coalesce(F.col(x), F.array().cast(dict(out.dtypes)[x]))
     out = out.withColumns({"rows": none("rows"), "proofs": none("proofs")})
-    rows, found = F.col("rows"), F.col("proofs")
-    files = F.size(F.array_distinct(F.filter(F.transform(found, lambda p: p["file_name"]), lambda x: x != "")))
-    wanted = F.exists(rows, lambda r: of_intent(F.col("intent"), r["relation"], RELATIONS_OF))
-    out = out.withColumn("score", confidence(F.size(rows), F.size(found), files, F.exists(found, lambda p: F.trim(p["page"]) != ""), wanted)).withColumn("level", level(F.col("score")))
-    return out.select(
-        "question_id", "entity", "intent", sentence(F.col("intent"), F.col("entity"), rows, found).alias("answer"), "score", "level",
-        label(F.col("level"), REASONS).alias("reason"), F.size(rows).alias("graph_hits"), F.size(found).alias("evidences"),
+    wanted = F.exists(F.col("rows"), lambda r: of_intent(F.col("intent"), r["relation"], RELATIONS_OF))
+    return out.withColumn("score", confidence(F.size("rows"), F.size("proofs"), files_of(F.col("proofs")), has_pages(F.col("proofs")), wanted)).withColumn("level", level(F.col("score")))
+
+
+def files_of(proofs: Column) -> Column:
+    return F.size(F.array_distinct(F.filter(F.transform(proofs, lambda p: p["file_name"]), lambda x: x != "")))
+
+
+def has_pages(proofs: Column) -> Column:
+    return F.exists(proofs, lambda p: F.trim(p["page"]) != "")
+
+
+def answers(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """question_id, entity, intent, answer, score, level, reason, graph_hits, evidences for every row of asked.
+
+    asked: question_id, question, intent, entity (that of the graph it was matched to). Null page and file_name count as empty.
+    """
+    return gathered(asked, edges).select(
+        "question_id", "entity", "intent", sentence(F.col("intent"), F.col("entity"), F.col("rows"), F.col("proofs")).alias("answer"), "score", "level",
+        label(F.col("level"), REASONS).alias("reason"), F.size("rows").alias("graph_hits"), F.size("proofs").alias("evidences"),
     )
