@@ -39,6 +39,8 @@ SALTS = 16
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; the largest component is made 1 first, so that no square of a finite one overflows or vanishes."""
+    vectors = vectors / np.abs(vectors).max(1)[:, None]
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 

@@ -64,6 +64,12 @@ def test_embedding_links(spark):
     assert got[0] == got[1] == got[2] == (2, 0) and got[50] == (0, 50) and len(got) == 43
 
 
+def test_embeddings_of_any_finite_size(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1e200, 1e200]), (3, [1e200, 1e200]), (4, [1.0, 1.0]), (5, [5e-324, 5e-324]), (6, [1.7e308, 1.7e308]), (7, [-1e-300, 1e-300]), (8, [1e308, -1e308]), (9, [1e308, 1e-308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in egojoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (5, 1) for i in range(1, 7)}, 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
 def test_repeats_of_fifty_words(spark):
     shared = [f"s{i}" for i in range(50)]
     rows = [(d, " ".join([f"{d}a{i}" for i in range(30)] + shared[:n] + [f"{d}b{i}" for i in range(30)])) for d, n in ((1, 50), (2, 50), (3, 45))]
