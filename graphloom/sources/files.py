@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -149,6 +152,59 @@ def memo(rows: DataFrame) -> DataFrame:
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+class Memos:
+    """Tables by name, each loaded once and kept until it is refreshed or dropped.
+
+    A table that cannot be loaded is an empty one of its schema, said once in the log, until it is refreshed: what reads it goes on.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self._load, self._kept, self._told = spark, {}, {}, set()
+
+    def add(self, name: str, load: Callable[[], DataFrame], schema: StructType | str) -> None:
+        self.drop(name)
+        self._load[name] = (load, schema)
+
+    def get(self, name: str) -> DataFrame:
+        if name not in self._kept:
+            load, schema = self._load[name]
+            try:
+                rows = memo(load())
+                rows.count()  # reads it now, so that what cannot be read is known here
+            except Exception:  # whatever the source raises: the log says what
+                if name not in self._told:
+                    self._told.add(name)
+                    logging.getLogger(__name__).exception("%s could not be loaded", name)
+                rows = self.spark.createDataFrame([], schema)
+            self._kept[name] = rows
+        return self._kept[name]
+
+    def refresh(self, name: str) -> DataFrame:
+        """The table as its source has it now; what read it before keeps its own."""
+        self._forget(name)
+        return self.get(name)
+
+    def _forget(self, name: str) -> None:
+        if name in self._kept:
+            self._kept.pop(name).unpersist()
+
+    def drop(self, name: str) -> None:
+        self._forget(name)
+        self._load.pop(name, None)
+        self._told.discard(name)
+
+
+def observed(rows: DataFrame, status: str, statuses: list[str], high: Column) -> tuple[DataFrame, Callable[[], dict]]:
+    """rows, and a function that tells run_summary's counts for these statuses once a job has gone through the rows: no job of its own.
+
+    {status: {n, n_high, n_low}} and, under None, those of all rows. Statuses must be known before.
+    """
+    seen = Observation()
+    parts = {None: F.lit(True), **{x: F.coalesce(F.col(status) == x, F.lit(False)) for x in statuses}}
+    counts = [F.count_if(test & extra).alias(f"{i}_{k}") for i, test in enumerate(parts.values()) for k, extra in (("n", F.lit(True)), ("n_high", high), ("n_low", ~high))]
+    return rows.observe(seen, *counts), lambda: {x: {k: seen.get[f"{i}_{k}"] for k in ("n", "n_high", "n_low")} for i, x in enumerate(parts)}
+
+
 def select(spark: SparkSession, text: str, views: dict[str, DataFrame], **values: object) -> DataFrame:
     """SQL over these views, its :names taken from values (never pasted into the text)."""
     return spark.sql(text, args=values, **views)

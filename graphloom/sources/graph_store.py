@@ -63,8 +63,14 @@ class GraphStore:
         found = [x.getPath().getName() for x in fs.listStatus(target) if x.isDirectory()]
         return {x.removeprefix("_bucket="): f"{name}/{x}" for x in found}
 
-    def _commit(self, held: dict, version: int) -> int:
+    def done(self, stream: str) -> int:
+        """The number of the last batch of a stream that a version holds; -1 if there is none."""
+        return self.manifest()["batches"].get(stream, -1) if self.versions() else -1
+
+    def _commit(self, held: dict, version: int, batch: tuple[str, int] | None = None) -> int:
         """The manifest, by a rename that fails if another writer was first."""
+        batches = self.manifest()["batches"] if self.versions() else {}
+        held = {**held, "batches": batches | ({batch[0]: batch[1]} if batch else {})}
         fs, folder = self._fs(f"{self.folder}/manifests")
         fs.mkdirs(folder)
         _, draft = self._fs(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
@@ -98,10 +104,10 @@ class GraphStore:
         """A version without rows, of the same schemas."""
         return self._commit({"nodes": {}, "edges": {}, "schemas": self.manifest()["schemas"]}, self._next())
 
-    def upsert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> int:
+    def upsert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, batch: tuple[str, int] | None = None) -> int:
         """A version with those rows added whose keys are not there yet (the first of each key); returns its number.
 
-        Present rows stay as they are. Only buckets that new rows fall into are read and written anew. Edges whose ends are no nodes are not added.
+        batch: a stream's name and the number of the batch that the rows are, which the same commit notes as done. Present rows stay as they are. Only buckets that new rows fall into are read and written anew. Edges whose ends are no nodes are not added.
         """
         held, version = self.manifest(), self._next()
         out = {"nodes": held["nodes"], "edges": held["edges"], "schemas": held["schemas"]}
@@ -124,7 +130,7 @@ class GraphStore:
             out[table] = held[table] | (self._write(table, whole) if changed else {})
             if table == "nodes":
                 present = self.read("nodes").unionByName(fresh)
-        return self._commit(out, version)
+        return self._commit(out, version, batch)
 
 
 def _ddl(rows: DataFrame) -> str:
