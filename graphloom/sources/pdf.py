@@ -31,6 +31,8 @@ class Document:
     def __init__(self, data: bytes) -> None:
         if not data.startswith(b"%PDF-"):
             raise ValueError("not a PDF file")
+        if b"%%EOF" not in data[-2048:]:
+            raise ValueError("the file is cut short")
         self.objects = {int(m[1]): m[3].strip() for m in OBJECT.finditer(data)}
         for body in [x for x in self.objects.values() if b"/ObjStm" in x[:400]]:
             head, packed = self.stream(body)
