@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, normalize, squeeze_blanks, trim_ws, unify_newlines
+from ..functions.text import WHITE, let, normalize, squeeze_blanks, trim_ws, unify_newlines
 
 # Patterns that decide what counts as noise, title or contents line.
 DOT_RUN, DASH_RUN = r"[\.．·•…。]{4,}", r"[_—\-]{4,}"
@@ -23,9 +23,35 @@ TITLE_LINES = [
 TOC_LINES = [r"^.*\.{2,}\s*\d+\s*$", r"^.*…{2,}\s*\d+\s*$"]
 LOW_VALUE = ["责任编辑", "印刷", "定价", "统一书号", "版权所有", "侵权必究"]
 ABNORMAL = r"[\\|~`�□○¤§¦¬¢£¥]"
+SOLID, DIGIT = r"(?U)[^\s]", r"(?U)[\d]"
 NOISE_RUNS = [DOT_RUN, DASH_RUN, r"[/\\]{3,}", r"[|]{3,}"]
 
 
+def _ranges(chars: str) -> str:
+    """A class of these characters, written as ranges: what is tested for each character of a text should be short."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in out) + "]"
+
+
+#: White space other than line ends.
+BLANK = _ranges(WHITE.replace("\n", ""))
+
+
+def trimmed_lines(x: Column) -> Column:
+    """x without white space at either end of its lines, but for the first one's beginning and the last one's end."""
+    return F.regexp_replace(F.regexp_replace(x, rf"\n{BLANK}++", "\n"), rf"{BLANK}++\n", "\n")
+
+
+def counted(x: Column, one: str) -> Column:
+    """How many characters of x are of the class `one`."""
+    return F.length(x) - F.length(F.regexp_replace(x, f"{one}+", ""))
+
+
 def lines_of(x: Column, keep_blank: bool = False) -> Column:
     lines = F.transform(F.split(x, "\n", -1), trim_ws)
     return lines if keep_blank else F.filter(lines, lambda s: s != "")
@@ -39,7 +65,7 @@ def clean_page(x: Column) -> Column:
     """Native text: leaders, rules and page-number lines go; blanks, lines and empty lines are tidied."""
     x = F.replace(unify_newlines(F.coalesce(x, F.lit(""))), F.lit("　"), F.lit(" "))
     x = let(F.regexp_replace(F.regexp_replace(x, DOT_RUN, " "), DASH_RUN, " "), _without_page_numbers)
-    x = F.array_join(lines_of(squeeze_blanks(x), keep_blank=True), "\n")
+    x = trimmed_lines(squeeze_blanks(x))
     return trim_ws(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
@@ -111,8 +137,9 @@ def clean_ocr_page(x: Column, patterns: list[str] = NOISE) -> Column:
 
 
 def visible_ratio(x: Column, script: str = r"[一-鿿A-Za-z0-9]") -> Column:
+    """The part of visible characters that are of the class script, to four places; ties go to the even one."""
     solid = F.length(F.regexp_replace(x, r"(?U)\s+", ""))
-    return F.round(F.when(solid > 0, F.regexp_count(x, F.lit(script)) / solid).otherwise(F.lit(0.0)), 4)
+    return F.bround(F.when(solid > 0, counted(x, script) / solid).otherwise(F.lit(0.0)), 4)
 
 
 def has_structure(x: Column) -> Column:
@@ -151,15 +178,12 @@ def clean_native_docs(docs: DataFrame) -> DataFrame:
 def text_quality(x: Column, script: str = r"[一-鿿]") -> Column:
     """struct of a text's label, reason, seven counts and three ratios; script: the characters that speak for it."""
     x = F.coalesce(x, F.lit(""))
-    visible, main = F.regexp_count(x, F.lit(r"(?U)\S")), F.regexp_count(x, F.lit(script))
-    english, digits = F.regexp_count(x, F.lit("[A-Za-z]")), F.regexp_count(x, F.lit(r"(?U)\d"))
-    abnormal = F.regexp_count(x, F.lit(ABNORMAL))
+    visible, main, english, digits, abnormal = (counted(x, c) for c in (SOLID, script, "[A-Za-z]", DIGIT, ABNORMAL))
     noise = sum((F.length(x) - F.length(F.regexp_replace(x, p, "")) for p in NOISE_RUNS), F.lit(0))
 
     def garbled(s: Column) -> Column:
-        seen, own = F.regexp_count(s, F.lit(r"(?U)\S")), F.regexp_count(s, F.lit(script))
-        odd, letters = F.regexp_count(s, F.lit(ABNORMAL)), F.regexp_count(s, F.lit("[A-Za-z]"))
-        return ((seen >= 15) & (own <= 2) & (odd >= 3)) | ((seen >= 25) & (own / seen < 0.08) & ((odd + letters) / seen > 0.6))
+        seen, own, odd, letters = (counted(s, c) for c in (SOLID, script, ABNORMAL, "[A-Za-z]"))
+        return let(F.struct(seen.alias("n"), own.alias("own"), odd.alias("odd"), letters.alias("a")), lambda c: ((c["n"] >= 15) & (c["own"] <= 2) & (c["odd"] >= 3)) | ((c["n"] >= 25) & (c["own"] / c["n"] < 0.08) & ((c["odd"] + c["a"]) / c["n"] > 0.6)))
 
     segments = F.size(F.filter(F.split(x, "[\n。；;]", -1), lambda s: F.when(F.length(s) >= 15, garbled(s)).otherwise(False)))
     counts = F.struct(visible.alias("v"), main.alias("m"), english.alias("e"), digits.alias("d"), abnormal.alias("a"), noise.alias("n"), segments.alias("g"))
@@ -172,7 +196,7 @@ def text_quality(x: Column, script: str = r"[一-鿿]") -> Column:
         label = F.when(c["v"] < 80, "low_quality").when(high, "high_quality").when(mixed, "mixed_quality").otherwise("low_quality")
         return F.struct(
             label.alias("quality_label"), reason.alias("quality_reason"), c["v"].alias("visible_chars"), c["m"].alias("script_chars"), c["e"].alias("english_chars"), c["d"].alias("digits"), c["a"].alias("abnormal_chars"),
-            c["n"].alias("punctuation_noise"), c["g"].alias("garbled_segments"), F.round(own, 4).alias("script_ratio"), F.round(odd, 4).alias("abnormal_ratio"), F.round(loud, 4).alias("noise_ratio"),
+            c["n"].alias("punctuation_noise"), c["g"].alias("garbled_segments"), F.bround(own, 4).alias("script_ratio"), F.bround(odd, 4).alias("abnormal_ratio"), F.bround(loud, 4).alias("noise_ratio"),
         )
 
     return let(counts, judged)

@@ -81,7 +81,7 @@ def toc_flag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", clean.is_toc_page(F.col("text"), "the").alias("is_toc"))
 
 
-@query(r"SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-z0-9]')) / nullif(length(regexp_replace(text, '\s+', '', 'g')), 0), 4) AS ratio FROM documents")
+@query(r"SELECT doc_id, round_even(len(regexp_extract_all(text, '[A-Za-z0-9]')) / nullif(length(regexp_replace(text, '\s+', '', 'g')), 0), 4) AS ratio FROM documents")
 def visible_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", clean.visible_ratio(F.col("text"), "[A-Za-z0-9]").alias("ratio"))
 
@@ -98,7 +98,7 @@ GONE = lambda x, p: f"(length({x}) - length(regexp_replace({x}, '{p}', '', 'g'))
 
 
 @query(rf"""SELECT doc_id, CASE WHEN v < 80 THEN 'low_quality' WHEN high THEN 'high_quality' WHEN mixed THEN 'mixed_quality' ELSE 'low_quality' END AS quality_label,
- CASE WHEN v < 80 THEN 'text_too_short' WHEN high THEN 'readable_chinese_text' WHEN mixed THEN 'partially_readable' ELSE 'garbled_or_noisy' END AS quality_reason, v AS visible_chars, d AS digits, a AS abnormal_chars, n AS punctuation_noise, g AS garbled_segments, round(own, 4) AS script_ratio
+ CASE WHEN v < 80 THEN 'text_too_short' WHEN high THEN 'readable_chinese_text' WHEN mixed THEN 'partially_readable' ELSE 'garbled_or_noisy' END AS quality_reason, v AS visible_chars, d AS digits, a AS abnormal_chars, n AS punctuation_noise, g AS garbled_segments, round_even(own, 4) AS script_ratio
  FROM (SELECT *, own >= 0.25 AND odd < 0.03 AND g <= 2 AS high, own >= 0.12 AND loud < 0.20 AND g <= 8 AS mixed FROM (SELECT *, CASE WHEN v > 0 THEN m / v ELSE 0 END AS own, CASE WHEN v > 0 THEN a / v ELSE 0 END AS odd, CASE WHEN v > 0 THEN (a + n) / v ELSE 0 END AS loud
  FROM (SELECT doc_id, {COUNT('x', SEEN)} AS v, {COUNT('x', '[A-Za-z]')} AS m, {COUNT('x', r'\p{Nd}')} AS d, {COUNT('x', clean.ABNORMAL)} AS a, {' + '.join(GONE('x', p) for p in clean.NOISE_RUNS)} AS n,
  len(list_filter(regexp_split_to_array(x, '[\n。；;]'), lambda s: ({COUNT('s', SEEN)} >= 15 AND {COUNT('s', '[A-Za-z]')} <= 2 AND {COUNT('s', clean.ABNORMAL)} >= 3) OR ({COUNT('s', SEEN)} >= 25 AND {COUNT('s', '[A-Za-z]')} / {COUNT('s', SEEN)} < 0.08 AND ({COUNT('s', clean.ABNORMAL)} + {COUNT('s', '[A-Za-z]')}) / {COUNT('s', SEEN)} > 0.6))) AS g
