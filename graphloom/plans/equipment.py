@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, packs, qa, views
+from ..operators import dialogue, graph, packs, qa, views
 from ..operators.extract import Rule
 from ..sources.stage import staged
 from .queries import query, table
@@ -316,3 +316,17 @@ SAY = "CASE kind " + " ".join(f"WHEN '{k}' THEN format({quoted(v.replace('%s', '
  FROM asked LEFT JOIN told ON told.conv_id = asked.conv_id AND told.turn = asked.turn""")
 def rule_answers(spark, sf_dir):
     return qa.answers(questions(spark, sf_dir), note_edges(spark, sf_dir)).select("question_id.*", "entity", "kind", "n_results", "answer")
+
+
+@query(f"""WITH {E}, {MATCH}, m AS (SELECT conv_id, turn, name FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY prio, score DESC, length(name) DESC, name, type) AS n FROM c) WHERE n = 1),
+ i AS (SELECT conv_id, turn, {first_sql(qa.INTENTS, 'trim(question)', qa.ANY_INTENT)} AS intent, {without_sql('question', [h for x in qa.HINT_ORDER for h in qa.INTENTS[x]] + qa.FREE_DROPPED)} AS guess FROM {QUESTIONS}),
+ k AS (SELECT DISTINCT src AS name, false AS back FROM e UNION SELECT dst, true FROM e WHERE relation = 'OCCURS_ON')
+ SELECT i.conv_id, i.turn, coalesce(m.name, guess) AS entity_name, intent, k.name IS NOT NULL AS found, CASE WHEN m.name IS NULL THEN format('{dialogue.NO_NODE.replace('%s', '{}')}', guess) WHEN k.name IS NULL THEN format('未在图谱中检索到与“{{}}”直接相关的知识。', m.name) ELSE '' END AS told
+ FROM i LEFT JOIN m ON m.conv_id = i.conv_id AND m.turn = i.turn LEFT JOIN k ON k.name = m.name AND k.back = (intent = '部件故障')""")
+def free_answers(spark, sf_dir):
+    """Every user turn as a free question, answered whole: what it was taken for, whether the graph has anything, and what is said if not."""
+    nodes = spark.createDataFrame(list(PACK.terms), "name string, type string")
+    edges = note_edges(spark, sf_dir).withColumnRenamed("page_num", "page")
+    got = dialogue.respond(questions(spark, sf_dir), nodes, edges)
+    found = F.col("confidence_info.graph_hit_count") > 0
+    return got.select("question_id.*", "entity_name", "intent", found.alias("found"), F.when(found, "").otherwise(F.col("answer")).alias("told"))
