@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, let, normalize, trim_ws
+from ..sources.stage import staged
 from . import folds
 from .ordering import numbered
 
@@ -100,7 +101,8 @@ def chunk_page_rows(pages: DataFrame, least: int = 120, longest: int = 500, ends
     kept = pages.filter(~F.coalesce("is_toc_page", F.lit(False)) & (F.coalesce(trim_ws(F.col("text")), F.lit("")) != ""))
     cut = F.flatten(F.transform(paragraphs(F.col("text")), lambda g: _split_long(g, longest, ends)))
     units = kept.select("doc_id", "page_num", F.posexplode(cut).alias("_at", "_text"))
-    return chunk_units(numbered(units, ["page_num", "_at"], "i", ["doc_id"]), least, block)
+    # ranges are found by a first look at all units: they are cut once, before it
+    return chunk_units(numbered(staged(units), ["page_num", "_at"], "i", ["doc_id"]), least, block)
 
 
 def chunk_units(units: DataFrame, least: int = 120, block: int = folds.BLOCK) -> DataFrame:
