@@ -22,7 +22,8 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def squeeze_blanks(x: Column) -> Column:
-    return F.regexp_replace(x, r"[ \t]+", " ")
+    """Runs of blanks and tabs made single blanks; a blank that is one already is no match."""
+    return F.regexp_replace(x, r"[ \t](?:[ \t]++|(?<=\t))", " ")
 
 
 def unify_newlines(x: Column) -> Column:

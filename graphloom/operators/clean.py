@@ -15,6 +15,8 @@ NOISE = [
     r"学\s*兔\s*兔", r"www\s*\.\s*bzfxw\s*\.\s*com", r"bzfxw\s*\.\s*com", r"w\s*w\s*w\s*\.\s*b\s*z\s*f\s*x\s*w\s*\.\s*c\s*o\s*m", r"标\s*准\s*下\s*载", r"免\s*费\s*下\s*载",
     r"仅\s*供.*?使\s*用", r"内\s*部\s*资\s*料", r"扫\s*描\s*全\s*能\s*王", r"仅\s*供\s*学\s*习\s*交\s*流", r"更\s*多\s*免\s*费\s*资\s*料\s*下\s*载",
 ]
+#: What every match of NOISE holds, and a class of characters one of which every change of spaces and signs in OCR text needs. A class takes time by its parts, so these have two.
+NOISE_HINT, SIGN_HINT = r"(?U)[zZ\x{4e00}-\x{9fff}](?:(?<=[学标免仅内扫更])|(?<=[zZ])\s*+[fF])", r"[|¦–-\x{ffff}]"
 PURE_NOISE_LINES = [r"^\s*$", r"^[\-_=~·•.。,:：;；、\s]+$", r"^\d+\s*$", r"^第\s*\d+\s*页\s*$", r"^Page\s*\d+\s*$", r"^www\..*$", r"^bzfxw.*$"]
 TITLE_LINES = [
     r"^\d+(\.\d+)*\s*[^\d].*$", r"^附录\s*[A-ZＡ-Ｚ一二三四五六七八九十].*$", r"^表\s*[A-Za-z0-9一二三四五六七八九十\.\-].*$", r"^图\s*[A-Za-z0-9一二三四五六七八九十\.\-].*$",
@@ -58,7 +60,8 @@ def lines_of(x: Column, keep_blank: bool = False) -> Column:
 
 
 def _any(line: Column, patterns: list[str], flags: str = "(?Ud)") -> Column:
-    return line.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+    """Whether one of the patterns, each of which begins with ^, fits line: the one ^ before them all keeps them from being tried at each character."""
+    return line.rlike(flags + "^(?:" + "|".join(f"(?:{p.removeprefix('^')})" for p in patterns) + ")")
 
 
 def clean_page(x: Column) -> Column:
@@ -92,11 +95,19 @@ def remove_noise(x: Column, patterns: list[str] = NOISE) -> Column:
 
 
 def fix_ocr_noise(x: Column, patterns: list[str] = NOISE) -> Column:
-    x = remove_noise(x, patterns)
+    """Noise, spaces that Chinese does not have and broken signs go; texts that hold none of their characters are only tidied."""
+    if patterns == NOISE:
+        x = let(x, lambda s: F.when(s.rlike(NOISE_HINT), remove_noise(s)).otherwise(s))
+    else:
+        x = remove_noise(x, patterns)
+    x = let(x, lambda s: F.when(s.rlike(SIGN_HINT), _fix_signs(s)).otherwise(s))
+    return trim_ws(squeeze_blanks(x))
+
+
+def _fix_signs(x: Column) -> Column:
     x = F.regexp_replace(x, r"(?U)(?<=[一-鿿])\s+(?=[一-鿿])", "")
     x = F.regexp_replace(F.regexp_replace(x, r"(?U)\s+([，。；：！？、）】》])", "$1"), r"(?U)([（【《])\s+", "$1")
-    x = F.regexp_replace(F.regexp_replace(x, r"[—–]{2,}", "——"), r"[|¦]+", " ")
-    return trim_ws(squeeze_blanks(x))
+    return F.regexp_replace(F.regexp_replace(x, r"[—–]{2,}", "——"), r"[|¦]+", " ")
 
 
 def is_title_line(s: Column) -> Column:
@@ -104,7 +115,7 @@ def is_title_line(s: Column) -> Column:
 
 
 def is_toc_line(s: Column) -> Column:
-    return _any(s, TOC_LINES)
+    return (s.contains("..") | s.contains("……")) & _any(s, TOC_LINES)
 
 
 def is_noise_line(s: Column) -> Column:
@@ -136,10 +147,11 @@ def clean_ocr_page(x: Column, patterns: list[str] = NOISE) -> Column:
     return normalize(F.array_join(merge_lines(lines_of(x), patterns=patterns), "\n"))
 
 
-def visible_ratio(x: Column, script: str = r"[一-鿿A-Za-z0-9]") -> Column:
+def visible_ratio(x: Column, script: str = r"[一-鿿\p{Alnum}]") -> Column:
     """The part of visible characters that are of the class script, to four places; ties go to the even one."""
-    solid = F.length(F.regexp_replace(x, r"(?U)\s+", ""))
-    return F.bround(F.when(solid > 0, counted(x, script) / solid).otherwise(F.lit(0.0)), 4)
+    # blanks and line ends go without a pattern; what else is white space is seldom there
+    solid = F.regexp_replace(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")), r"(?U)\s+", "")
+    return let(solid, lambda s: F.bround(F.when(F.length(s) > 0, counted(s, script) / F.length(s)).otherwise(F.lit(0.0)), 4))
 
 
 def has_structure(x: Column) -> Column:
