@@ -25,12 +25,16 @@ def holding(texts: DataFrame, text: str, names: DataFrame, name: str, keep_text:
 
     Both tables' columns are kept, so none may be in both; without keep_text that of the text is not, which long texts want. names is read when this is called: give it stored if it is dear.
     """
-    known = names.select(name).filter(F.col(name) != "").distinct()
-    found = known.limit(most_names + 1).toArrow().column(0).combine_chunks()
+    known = names.filter(F.col(name) != "").groupBy(name).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length(F.to_json(F.struct(*names.columns)))).alias("_bytes"))
+    measured = known.limit(most_names + 1).toArrow()
+    found = measured.column(0).combine_chunks()
     if len(found) > most_names or found.nbytes > most_bytes:
         found_rows = by_grams(texts, text, names, name)
         return found_rows if keep_text else found_rows.drop(text)
-    return by_automaton(texts, text, found.to_pylist(), name, keep_text).join(names, name)
+    rows, size = (sum(measured.column(i).to_pylist()) for i in (1, 2))
+    # what is found is far more than the names: where all their rows are as few and small as names may be, they go to it
+    small = rows <= most_names and size <= most_bytes
+    return by_automaton(texts, text, found.to_pylist(), name, keep_text).join(F.broadcast(names) if small else names, name)
 
 
 def by_automaton(texts: DataFrame, text: str, listed: list[str], name: str, keep_text: bool = True) -> DataFrame:
@@ -42,6 +46,7 @@ def by_automaton(texts: DataFrame, text: str, listed: list[str], name: str, keep
         import ahocorasick
 
         entries, machine = shared.value, ahocorasick.Automaton()
+        named = pa.array(entries, pa.string())
         for i, entry in enumerate(entries):
             machine.add_word(entry, i)
         machine.make_automaton()
@@ -52,13 +57,13 @@ def by_automaton(texts: DataFrame, text: str, listed: list[str], name: str, keep
                 rows += [row] * len(found)
                 hits += found
                 if len(hits) > 100_000:
-                    yield _joined(batch, rows, hits, entries)
+                    yield _joined(batch, rows, hits, named)
                     rows, hits = [], []
-            yield _joined(batch, rows, hits, entries)
+            yield _joined(batch, rows, hits, named)
 
-    def _joined(batch: pa.RecordBatch, rows: list[int], hits: list[int], entries: list[str]) -> pa.RecordBatch:
+    def _joined(batch: pa.RecordBatch, rows: list[int], hits: list[int], named: pa.Array) -> pa.RecordBatch:
         kept = batch.select(columns).take(pa.array(rows, pa.int64()))
-        return pa.RecordBatch.from_arrays([*kept.columns, pa.array([entries[i] for i in hits], pa.string())], [*columns, name])
+        return pa.RecordBatch.from_arrays([*kept.columns, named.take(pa.array(hits, pa.int64()))], [*columns, name])
 
     columns = [c for c in texts.columns if keep_text or c != text]
     schema = texts.limit(0).select(*columns, F.lit("").alias(name)).schema

@@ -35,6 +35,21 @@ def test_vocabulary_as_a_table_equals_literals(spark):
     assert ordered(extract.relations_of(rows, table, rules, F.col("text"))) == ordered(extract.relations(rows, vocabulary, rules, F.col("text")))
 
 
+def test_mentions_of_are_not_shuffled_and_follow_the_rows_of_chunks(spark):
+    rows = spark.createDataFrame([(1, "a", "one two"), (1, "a", "one two"), (2, "b", "two"), (3, "c", None)], "doc_id long, chunk_id string, text string")
+    table = spark.createDataFrame([("one", "X"), ("one", "X"), ("one", "Y"), ("two", None), (None, "Z"), ("", "Z")], "name string, type string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if what is found were too large for it
+    try:
+        found = extract.mentions_of(rows, table, F.col("text"))
+        got = sorted((r["doc_id"], r["entity_name"], r["entity_type"] or "") for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([(1, "one", "X"), (1, "one", "Y"), (1, "two", "")] * 2 + [(2, "two", "")])  # as SQL's join has it: a row for each row
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def fold(lengths, alone, kind, limit):
     """Group numbers by reading the units one by one."""
     out, group, held, single = [], -1, None, False
