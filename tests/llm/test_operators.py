@@ -6,7 +6,9 @@ import zipfile
 import numpy as np
 import public_tokenizers
 import pytest
-from graphloom.llm import bytebpe, chat, egojoin, fingerprint, minhash, packing, sharding, suffixes, warc, wordbpe
+from graphloom.llm import bytebpe, chat
+from graphloom.llm import components as components_module
+from graphloom.llm import egojoin, fingerprint, minhash, packing, sharding, suffixes, warc, wordbpe
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,6 +50,22 @@ def test_best_fit_is_whole_and_tight():
     assert sorted(fill.values()) == [2, 10, 10, 10, 10] or sum(fill.values()) == 42 and max(fill.values()) <= 10
 
 
+def test_components_take_no_round_to_see_that_they_are_done(spark, monkeypatch):
+    rounds, kept = [], components_module.stored
+    monkeypatch.setattr(components_module, "stored", lambda df: (rounds.append(df), kept(df))[1])
+    for pairs, most in (([], 2), ([(3, 1), (2, 1), (9, 8), (1, 3), (7, 7)], 2), ([(i, i + 1) for i in range(64)], 9)):
+        rounds.clear()
+        edges = spark.createDataFrame(pairs, "u long, v long")
+        got = {r["node"]: r["component"] for r in components_module.components(edges).collect()}
+        want = {}
+        for a, b in pairs:
+            if a != b:
+                x, y = want.get(a, a), want.get(b, b)
+                want.update({a: x, b: y})
+                want = {n: min(x, y) if c in (x, y) else c for n, c in want.items()}
+        assert got == want and len(rounds) <= most  # the edges, each round, the result: stars take no round
+
+
 def test_components_by_exact_sets(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:190])), (3, " ".join(words).upper()), (4, " ".join(words[:100])), (5, None), (6, "one")]
